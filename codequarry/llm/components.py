@@ -30,7 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         next_ = large.join(small, "hi").select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
         next_ = cut(next_.unionByName(small.select(F.col("m").alias("lo"), "hi")).where("lo <> hi").distinct())
         # a fixed point is a forest of stars: no node is both a centre and a leaf, and each leaf has one centre
-        found = next_.agg(F.count("*").alias("n"), F.sum("lo").alias("s"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("x")).first()
+        found = next_.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("x")).first()
         now = next_
         if found == size:
             break
