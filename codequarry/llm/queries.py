@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, line_dedup, sharding, simhash, topk, url_filter
+from codequarry.llm import decontaminate, line_dedup, pieces, sharding, simhash, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash_dedup": simhash.query,
+    "op3_sentencepiece": pieces.query,
     "op5_sharding": sharding.query,
+    "op6_toxicity": toxicity.query,
     "op7_decontamination": decontaminate.query,
     "op8_topk_search": topk.query,
     "op9_line_dedup": line_dedup.query,
