@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from codequarry.llm import decontaminate, line_dedup, pieces, sharding, simhash, topk, toxicity, url_filter
+from codequarry.llm import decontaminate, langid, licenses, line_dedup, pieces, sharding, simhash, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
     "op2_simhash_dedup": simhash.query,
     "op3_sentencepiece": pieces.query,
+    "op4_language_id": langid.query,
     "op5_sharding": sharding.query,
     "op6_toxicity": toxicity.query,
     "op7_decontamination": decontaminate.query,

@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.llm import decontaminate, line_dedup, simhash
+from codequarry.llm import decontaminate, langid, line_dedup, pieces, simhash
 from codequarry.llm.common import read, shared_dir
 
 STAGES = [
+    ("language_id", langid.stage),
     ("line_dedup", line_dedup.stage),
     ("simhash_dedup", simhash.stage),
     ("decontamination", decontaminate.stage),
+    ("sentencepiece", pieces.stage),
 ]
 
 #: Fingerprints, suffix arrays and pieces are beyond SQL; tests hold run() against brute force.
