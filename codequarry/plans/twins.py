@@ -1,4 +1,440 @@
-"""The engine's operators over the driver tables."""
+"""The engine's operators over the driver tables, each with the SQL that it must agree with.
+
+events of one user stand for the lines of one file: a signup opens an interval that the next
+one closes. documents stand for files, their words for terms, customer, orders
+and lineitem for package, version and fact.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from codequarry.functions import text as T
+from codequarry.operators import audits, joins, paging, postings
 
 QUERIES = {}
 ORACLES = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    df = spark.read.parquet(f"{d}/{table}.parquet")
+    return df.withColumn("ts", F.col("ts").cast("timestamp")) if table == "events" else df
+
+
+def _intervals(ev: DataFrame, kind: str = "signup", p: str = "o") -> DataFrame:
+    """Rows of one kind with the time of their key's next one (null: open)."""
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    out = ev.where(F.col("event_type") == kind)
+    return out.select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("ts").alias(f"{p}_ts"), F.lead("ts").over(w).alias(f"{p}_end"))
+
+
+def _in(point: str, p: str = "o") -> Column:
+    return (F.col(point) >= F.col(f"{p}_ts")) & (F.col(f"{p}_end").isNull() | (F.col(point) < F.col(f"{p}_end")))
+
+
+_OPEN = """o AS (SELECT event_id AS o_id, user_id AS o_user, ts AS o_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o_end
+  FROM events WHERE event_type = 'signup')"""
+_HELD = "e.user_id = o_user AND e.ts >= o_ts AND (o_end IS NULL OR e.ts < o_end)"
+
+
+@query(f"WITH {_OPEN} SELECT o_id, o_user, e.event_id, e.event_type FROM o JOIN events e ON {_HELD} WHERE e.event_type <> 'signup'")
+def containment_join(spark, d):
+    """Facts within intervals of the same key."""
+    ev = read(spark, d, "events")
+    facts = ev.where("event_type <> 'signup'").select("event_id", "user_id", "ts", "event_type")
+    o = _intervals(ev)
+    return o.join(facts, (F.col("o_user") == F.col("user_id")) & _in("ts")).select("o_id", "o_user", "event_id", "event_type")
+
+
+@query(f"""WITH {_OPEN}, n AS (SELECT * FROM o UNION ALL SELECT -1 - user_id, user_id, min(ts), NULL FROM events GROUP BY user_id)
+SELECT event_id, o_id FROM (SELECT e.event_id, o_id, row_number() OVER (PARTITION BY e.event_id ORDER BY o_end IS NULL, epoch_us(o_end) - epoch_us(o_ts), o_ts DESC, o_id) AS rn
+  FROM events e JOIN n AS o ON {_HELD} WHERE e.event_type = 'click') WHERE rn = 1""")
+def smallest_enclosing(spark, d):
+    """The smallest of nested intervals that holds a fact."""
+    ev = read(spark, d, "events")
+    whole = ev.groupBy("user_id").agg(F.min("ts").alias("o_ts")).select((-1 - F.col("user_id")).alias("o_id"), F.col("user_id").alias("o_user"), "o_ts", F.lit(None).cast("timestamp").alias("o_end"))
+    n = _intervals(ev).unionByName(whole)
+    facts = ev.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    held = facts.join(n, (F.col("o_user") == F.col("user_id")) & _in("ts"))
+    size = (F.unix_micros("o_end") - F.unix_micros("o_ts")).asc_nulls_last()
+    return joins.first_by(held, ["event_id"], [size, F.desc("o_ts"), F.col("o_id")]).select("event_id", "o_id")
+
+
+@query(f"""WITH {_OPEN} SELECT o_id, e.event_id AS purchase_id, r.event_id AS error_id FROM o
+JOIN events e ON {_HELD} AND e.event_type = 'purchase' JOIN events r ON {_HELD.replace("e.", "r.")} AND r.event_type = 'error'
+WHERE CAST(e.ts AS DATE) = CAST(r.ts AS DATE)""")
+def multi_assoc_join(spark, d):
+    """Two associations of one root, paired by an equality besides."""
+    ev, o = read(spark, d, "events"), None
+    o = _intervals(ev)
+    p = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("pu"), F.col("ts").alias("pt"))
+    r = ev.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("ru"), F.col("ts").alias("rt"))
+    both = o.join(p, (F.col("o_user") == F.col("pu")) & _in("pt")).join(r, (F.col("o_user") == F.col("ru")) & _in("rt") & (F.to_date("pt") == F.to_date("rt")))
+    return both.select("o_id", "purchase_id", "error_id")
+
+
+@query("SELECT o_orderkey, o_custkey, l_linenumber, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND CAST(l_shipdate AS DATE) >= CAST(o_orderdate AS DATE) WHERE o_orderstatus = 'F'")
+def definition_calls_join(spark, d):
+    """Definitions to the calls that name them."""
+    o = read(spark, d, "orders").where("o_orderstatus = 'F'")
+    li = read(spark, d, "lineitem")
+    on = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.to_date("l_shipdate") >= F.to_date("o_orderdate"))
+    return o.join(li, on).select("o_orderkey", "o_custkey", "l_linenumber", "l_partkey")
+
+
+@query("""SELECT o_orderkey, l_linenumber, l_partkey FROM (SELECT o_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS rn
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_totalprice > 100000) WHERE rn = 1""")
+def first_match_lateral(spark, d):
+    """Each matched order with its first line."""
+    o = read(spark, d, "orders").where("o_totalprice > 100000").select("o_orderkey")
+    li = read(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    order = [F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")]
+    return joins.first_match(o, li, on=("o_orderkey", "l_orderkey"), order=order).select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+def distinct_on_first(spark, d):
+    """One row a key."""
+    return joins.first_by(read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+')"
+_POST = f"p AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents)"
+
+
+def _terms(c: str = "text") -> Column:
+    lowered = F.translate(F.col(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def _post(spark, d):
+    return postings.postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms())
+
+
+@query(f"WITH {_POST} SELECT doc_id, term FROM p")
+def posting_build(spark, d):
+    """K3, K4: terms and the documents that hold them."""
+    return _post(spark, d).select("doc_id", "term")
+
+
+@query(f"WITH {_POST} SELECT doc_id FROM p WHERE term = 'the' INTERSECT SELECT doc_id FROM p WHERE term = 'and' INTERSECT SELECT doc_id FROM p WHERE term = 'of'")
+def posting_intersect(spark, d):
+    """Documents with all terms."""
+    return postings.intersect(_post(spark, d), "doc_id", ["the", "and", "of"])
+
+
+@query(f"WITH {_POST} SELECT DISTINCT doc_id FROM p WHERE term IN ('idiot', 'license', 'password')")
+def posting_union(spark, d):
+    """Documents with any term."""
+    return postings.union(_post(spark, d), "doc_id", ["idiot", "license", "password"])
+
+
+@query(f"WITH {_POST} SELECT term, count(*) AS df FROM p GROUP BY term")
+def term_df(spark, d):
+    """A5: in how many documents a term stands."""
+    return postings.document_frequency(_post(spark, d), "doc_id")
+
+
+_GROUPS = [("en", "the"), ("en", "and"), ("en", "with"), ("fr", "le"), ("fr", "la"), ("de", "der"), ("de", "und"), ("none", "zzzz"), ("none", "the")]
+_VALUES = ", ".join(f"('{g}', '{t}')" for g, t in _GROUPS)
+
+
+@query(f"""WITH {_POST}, g(grp, term) AS (VALUES {_VALUES}), s AS (SELECT grp, count(DISTINCT term) AS n FROM g GROUP BY grp)
+SELECT g.grp AS "group", doc_id FROM p JOIN g USING (term) JOIN s ON s.grp = g.grp GROUP BY g.grp, doc_id, n HAVING count(DISTINCT term) = n""")
+def containment_having(spark, d):
+    """Groups of terms that documents hold whole."""
+    return postings.containing_groups(_post(spark, d), spark.createDataFrame(_GROUPS, '"group" string, term string'.replace('"', "`")), "doc_id").select("group", "doc_id")
+
+
+@query(f"""WITH {_POST}, f AS (SELECT term, count(*) AS df FROM p GROUP BY term), g(grp, term) AS (VALUES {_VALUES}),
+j AS (SELECT grp, g.term, df FROM g LEFT JOIN f USING (term))
+SELECT grp AS "group", term, df FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY df, term) AS rn FROM j WHERE grp NOT IN (SELECT grp FROM j WHERE df IS NULL)) WHERE rn = 1""")
+def anchor_choice(spark, d):
+    """The rarest term of each group."""
+    groups = spark.createDataFrame(_GROUPS, "`group` string, term string")
+    return postings.anchors(postings.document_frequency(_post(spark, d), "doc_id"), groups)
+
+
+@query(f"""WITH {_POST} SELECT doc_id, 10 * count(*) FILTER (term IN ('the', 'and')) + count(*) FILTER (term IN ('with', 'from', 'this')) AS score
+FROM p GROUP BY doc_id HAVING count(*) FILTER (term IN ('the', 'and')) = 2""")
+def candidate_score(spark, d):
+    """Required and optional terms."""
+    return postings.candidate_scores(_post(spark, d), "doc_id", ["the", "and"], ["with", "from", "this"])
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size = 10")
+def eq_filter(spark, d):
+    """P1"""
+    return read(spark, d, "part").where("p_size = 10").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size <= 30 AND p_retailprice >= 1000 AND p_retailprice < 1500")
+def cmp_filter(spark, d):
+    """P2, P9"""
+    return read(spark, d, "part").where((F.col("p_size") > 10) & (F.col("p_size") <= 30) & (F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") < 1500)).select("p_partkey", "p_size")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def in_filter(spark, d):
+    """P3"""
+    return read(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'part')")
+def prefix_search(spark, d):
+    """P4"""
+    return read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "Part")).select("p_partkey", "p_name")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
+def text_contains(spark, d):
+    """Literal search, case-sensitive."""
+    return read(spark, d, "documents").where(F.col("text").contains("License")).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
+def text_ilike(spark, d):
+    """Literal search, whatever the case."""
+    return read(spark, d, "documents").where(T.icontains(F.col("text"), "LICENSE")).select("doc_id")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, 'href="/([a-zA-Z]{3,})"', 1) AS first FROM pages WHERE regexp_matches(html, 'href="/[a-zA-Z]{3,}"')""")
+def regex_search(spark, d):
+    """P17, X7, F5"""
+    return read(spark, d, "pages").where(F.col("html").rlike('href="/[a-zA-Z]{3,}"')).select("page_id", F.regexp_extract("html", 'href="/([a-zA-Z]{3,})"', 1).alias("first"))
+
+
+@query(r"""WITH x AS (SELECT p_partkey, unnest(regexp_extract_all(p_name || '.handleEvent2_' || p_brand || '!', '[A-Za-z_][A-Za-z0-9_]*[!?]?')) AS n, generate_subscripts(regexp_extract_all(p_name || '.handleEvent2_' || p_brand || '!', '[A-Za-z_][A-Za-z0-9_]*[!?]?'), 1) AS i FROM part),
+y AS (SELECT p_partkey, i, unnest(string_split(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' ')) AS t, generate_subscripts(string_split(regexp_replace(regexp_replace(n, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' '), 1) AS j FROM x),
+z AS (SELECT p_partkey, lower(t) AS t, min(i * 1000 + j) AS o FROM y WHERE t <> '' GROUP BY ALL)
+SELECT p_partkey, string_agg(t, ' ' ORDER BY o) AS tokens FROM z GROUP BY p_partkey""")
+def identifier_tokens(spark, d):
+    """F3"""
+    name = F.concat(F.col("p_name"), F.lit(".handleEvent2_"), F.col("p_brand"), F.lit("!"))
+    return read(spark, d, "part").select("p_partkey", T.identifier_tokens(name).alias("tokens"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) AS lines FROM documents")
+def line_slice(spark, d):
+    """F7"""
+    return read(spark, d, "documents").select("doc_id", T.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("lines"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(doc_id % 7 - 3, 0) + 1:greatest(doc_id % 7 - 3, 0) + 5], chr(10)) AS snippet FROM documents")
+def snippet(spark, d):
+    """X16"""
+    return read(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), (F.col("doc_id") % 7).cast("int")).alias("snippet"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), l AS (SELECT doc_id, len({_WORDS}) AS n FROM documents),
+t AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term IN ('idiot', 'license', 'the') GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+s AS (SELECT doc_id, sum(ln(1 + ((SELECT count(*) FROM l) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / (SELECT avg(n) FROM l)))) AS score FROM t JOIN f USING (term) JOIN l USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50""")
+def bm25_topk(spark, d):
+    """Ranked text search."""
+    docs = read(spark, d, "documents").select("doc_id", _terms().alias("words"))
+    # no explode of all words: lengths are sizes, and only the wanted terms become rows
+    wanted = ["idiot", "license", "the"]
+    lengths = docs.select("doc_id", F.size("words").alias("len"))
+    post = docs.select("doc_id", F.explode(F.filter("words", lambda x: x.isin(wanted))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    scored = postings.bm25(post, lengths, wanted, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return paging.offset_page(scored, [F.desc("score"), F.col("doc_id")], 0, 50)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) > (50000.0, 100) ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def keyset_page(spark, d):
+    """O1, O2"""
+    return paging.keyset_page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 20, [50000.0, 100])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
+def offset_page(spark, d):
+    """O4"""
+    return paging.offset_page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 40, 20)
+
+
+@query("""SELECT p_partkey, p_name FROM part ORDER BY CASE WHEN p_brand = 'Brand#11' THEN 0 WHEN p_brand = 'Brand#12' THEN 1 ELSE 2 END,
+CASE WHEN p_type LIKE '%STEEL%' THEN 0 WHEN p_type LIKE '%BRASS%' THEN 1 ELSE 2 END, p_name, p_partkey LIMIT 30""")
+def ranked_topk(spark, d):
+    """Rank chains, then one global top-k."""
+    brand = F.when(F.col("p_brand") == "Brand#11", 0).when(F.col("p_brand") == "Brand#12", 1).otherwise(2)
+    kind = F.when(F.col("p_type").contains("STEEL"), 0).when(F.col("p_type").contains("BRASS"), 1).otherwise(2)
+    return read(spark, d, "part").orderBy(brand, kind, "p_name", "p_partkey").limit(30).select("p_partkey", "p_name")
+
+
+@query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def package_counts(spark, d):
+    """Zero counts stay. Customers are counted before they meet the nations."""
+    c = read(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("c"))
+    n = read(spark, d, "nation")
+    return n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", "n_name", F.coalesce("c", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT n_name, sum(n)::BIGINT AS n FROM (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL UNION ALL SELECT n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL) GROUP BY n_name")
+def shard_counts_merge(spark, d):
+    """Counts of shards, merged by name."""
+    n = read(spark, d, "nation")
+    parts = [read(spark, d, t).groupBy(F.col(k).alias("n_nationkey")).count() for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
+    return parts[0].unionByName(parts[1]).join(F.broadcast(n), "n_nationkey").groupBy("n_name").agg(F.sum("count").alias("n"))
+
+
+@query("SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'p') GROUP BY p_name ORDER BY n DESC, p_name LIMIT 15")
+def autocomplete(spark, d):
+    """A11"""
+    hit = read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "p"))
+    return hit.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_name").limit(15)
+
+
+@query("SELECT least(count(*), 1000) AS value, CASE WHEN count(*) > 1000 THEN 'gte' ELSE 'eq' END AS relation FROM (SELECT 1 FROM lineitem WHERE l_quantity > 10 LIMIT 1001)")
+def bounded_estimate(spark, d):
+    """A4"""
+    return paging.bounded_count(read(spark, d, "lineitem").where("l_quantity > 10").select("l_orderkey"), 1000)
+
+
+@query("""WITH q AS (SELECT embedding AS e, label AS l FROM embeddings WHERE vec_id = 7),
+s AS (SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * e[i]::DOUBLE)) / sqrt(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * embedding[i]::DOUBLE)) * list_sum(list_transform(range(1, 65), lambda i: e[i]::DOUBLE * e[i]::DOUBLE))), 4) AS similarity
+FROM embeddings, q WHERE label BETWEEN floor(l / 2) AND 2 * l AND vec_id <> 7)
+SELECT vec_id, similarity FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 20""")
+def similar_vectors(spark, d):
+    """A band by size, then exact similarity, a threshold and the best."""
+    e = read(spark, d, "embeddings")
+    q = e.where("vec_id = 7").select(F.col("embedding").alias("e"), F.col("label").alias("l"))  # one row
+    near = e.where("vec_id <> 7").join(F.broadcast(q), (F.col("label") >= F.floor(F.col("l") / 2)) & (F.col("label") <= 2 * F.col("l")))
+    scored = near.select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("e")), 4).alias("similarity"))
+    return paging.offset_page(scored.where("similarity >= 0.1"), [F.desc("similarity"), F.col("vec_id")], 0, 20)
+
+
+@query(f"""WITH b AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), c AS (SELECT doc_id, list_distinct({_WORDS}) AS ws FROM documents)
+SELECT item_id, doc_id, n FROM (SELECT item_id, doc_id, n, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rn FROM
+ (SELECT item_id, doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM c) JOIN b USING (w) GROUP BY ALL)) WHERE rn = 1""")
+def shingle_overlap(spark, d):
+    """By how many terms items and documents overlap; the best document of each item."""
+    b = read(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(_terms())).alias("term"))
+    pairs = _post(spark, d).join(b, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return joins.first_by(pairs, ["item_id"], [F.desc("n"), F.col("doc_id")]).select("item_id", "doc_id", "n")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS l_orderkey, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'removed' ELSE 'unchanged' END AS status
+FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 45) a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_discount > 0.08) b ON a.k = b.k""")
+def audit_diff(spark, d):
+    """New, removed and unchanged findings."""
+    li = read(spark, d, "lineitem")
+    return audits.diff(li.where("l_quantity > 45"), li.where("l_discount > 0.08"), ["l_orderkey"])
+
+
+@query("SELECT l_returnflag, l_linestatus, l_suppkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1")
+def finding_dedup(spark, d):
+    """X15, W5"""
+    order = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    return audits.dedup(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey"], order).select("l_returnflag", "l_linestatus", "l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+def finding_counts(spark, d):
+    """A12, A13"""
+    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_name, l_orderkey, l_linenumber FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_name = (SELECT max(s_name) FROM supplier) OR contains(lower(s_name), '000000001')""")
+def callers(spark, d):
+    """Edges by the name of one end."""
+    s = read(spark, d, "supplier")
+    last = s.agg(F.max("s_name")).first()[0]
+    return s.where((F.col("s_name") == last) | T.icontains(F.col("s_name"), "000000001")).join(read(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey <= 5")
+def callees(spark, d):
+    """The other end."""
+    p = read(spark, d, "part").where("p_partkey <= 5").select("p_partkey", "p_name")
+    return read(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name").distinct()
+
+
+@query("SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY source")
+def hydrate_fingerprint(spark, d):
+    """A snapshot's fingerprint."""
+    rows = read(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha"))
+    w = F.array_sort(F.collect_list(F.struct("doc_id", "sha")))
+    return rows.groupBy("source").agg(w.alias("a"), F.count("*").alias("files")).select("source", F.sha2(F.array_join(F.transform("a", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["sha"])), "\n"), 256).alias("fingerprint"), "files")
+
+
+@query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey FROM r WHERE i IN (SELECT round_even(k * (n - 1) / 24.0, 0)::BIGINT FROM range(25) t(k), (SELECT any_value(n) AS n FROM r))""")
+def sampling(spark, d):
+    """25 rows at even distances."""
+    return paging.even_sample(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 25)
+
+
+@query("""SELECT event_id, coalesce(epoch_ms((SELECT min(x.ts) FROM events x WHERE x.user_id = e.user_id AND x.ts > e.ts)) - 1, 999999) AS end_ms FROM events e""")
+def next_distinct_end(spark, d):
+    """Ends before the next distinct start."""
+    ev = read(spark, d, "events").select("event_id", "user_id", F.unix_millis("ts").alias("ms"))
+    return joins.end_before_next(ev, "user_id", "ms", "end_ms").select("event_id", "end_ms")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_exists(spark, d):
+    """J14, J15"""
+    done = read(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return read(spark, d, "lineitem").join(done, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT c_custkey, c_name, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 5000""")
+def dimension_joins(spark, d):
+    """Dimensions by left joins, columns pruned."""
+    c = read(spark, d, "customer").where("c_acctbal > 5000")
+    n, r = read(spark, d, "nation"), read(spark, d, "region")
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("c_custkey", "c_name", "n_name", "r_name")
+
+
+@query("""SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type""")
+def stage_timings(spark, d):
+    """A16"""
+    v = F.col("value")
+    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"))
+
+
+@query("SELECT c_mktsegment, n_name, string_agg(c_name, ',' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def result_groups(spark, d):
+    """Results grouped for display, in order."""
+    j = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("c_mktsegment", "n_name").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("names"))
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS latest FROM events GROUP BY user_id""")
+def latest_version(spark, d):
+    """S3: the latest of each name."""
+    return read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest"))
+
+
+@query("SELECT p_partkey, p_partkey % 8 AS shard FROM part")
+def shard_assignment(spark, d):
+    """K14"""
+    return read(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(8)).alias("shard"))
+
+
+@query("SELECT 'part' AS \"table\", count(*) AS n FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
+def table_counts(spark, d):
+    """A1, A9"""
+    out = None
+    for t in ("part", "orders", "customer"):
+        one = read(spark, d, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT page_id, html AS source, url FROM pages WHERE regexp_matches(url, '^https?://[^/]*/en/[^/]*$')""")
+def glob_filter(spark, d):
+    """Path globs."""
+    return read(spark, d, "pages").where(F.col("url").rlike("^https?://[^/]*/en/[^/]*$")).select("page_id", F.col("html").alias("source"), "url")
