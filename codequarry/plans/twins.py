@@ -179,10 +179,10 @@ def eq_filter(spark, d):
     return read(spark, d, "part").where("p_size = 10").select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size <= 30 AND p_retailprice >= 1000 AND p_retailprice < 1500")
+@query("SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size <= 30 AND p_retailprice >= 920 AND p_retailprice < 980")
 def cmp_filter(spark, d):
     """P2, P9"""
-    return read(spark, d, "part").where((F.col("p_size") > 10) & (F.col("p_size") <= 30) & (F.col("p_retailprice") >= 1000) & (F.col("p_retailprice") < 1500)).select("p_partkey", "p_size")
+    return read(spark, d, "part").where((F.col("p_size") > 10) & (F.col("p_size") <= 30) & (F.col("p_retailprice") >= 920) & (F.col("p_retailprice") < 980)).select("p_partkey", "p_size")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
@@ -191,10 +191,10 @@ def in_filter(spark, d):
     return read(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderstatus")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'part')")
+@query("SELECT p_partkey, p_name FROM part WHERE starts_with(lower(p_name), 'blue')")
 def prefix_search(spark, d):
     """P4"""
-    return read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "Part")).select("p_partkey", "p_name")
+    return read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "Blue")).select("p_partkey", "p_name")
 
 
 @query("SELECT doc_id FROM documents WHERE contains(text, 'License')")
@@ -264,12 +264,12 @@ def offset_page(spark, d):
     return paging.offset_page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 40, 20)
 
 
-@query("""SELECT p_partkey, p_name FROM part ORDER BY CASE WHEN p_brand = 'Brand#11' THEN 0 WHEN p_brand = 'Brand#12' THEN 1 ELSE 2 END,
-CASE WHEN p_type LIKE '%STEEL%' THEN 0 WHEN p_type LIKE '%BRASS%' THEN 1 ELSE 2 END, p_name, p_partkey LIMIT 30""")
+@query("""SELECT p_partkey, p_name FROM part ORDER BY CASE WHEN p_brand = 'Brand#2' THEN 0 WHEN p_brand = 'Brand#4' THEN 1 ELSE 2 END,
+CASE WHEN p_type LIKE '%ECON%' THEN 0 WHEN p_type LIKE '%SMALL%' THEN 1 ELSE 2 END, p_name, p_partkey LIMIT 30""")
 def ranked_topk(spark, d):
     """Rank chains, then one global top-k."""
-    brand = F.when(F.col("p_brand") == "Brand#11", 0).when(F.col("p_brand") == "Brand#12", 1).otherwise(2)
-    kind = F.when(F.col("p_type").contains("STEEL"), 0).when(F.col("p_type").contains("BRASS"), 1).otherwise(2)
+    brand = F.when(F.col("p_brand") == "Brand#2", 0).when(F.col("p_brand") == "Brand#4", 1).otherwise(2)
+    kind = F.when(F.col("p_type").contains("ECON"), 0).when(F.col("p_type").contains("SMALL"), 1).otherwise(2)
     return read(spark, d, "part").orderBy(brand, kind, "p_name", "p_partkey").limit(30).select("p_partkey", "p_name")
 
 
@@ -289,10 +289,10 @@ def shard_counts_merge(spark, d):
     return parts[0].unionByName(parts[1]).join(F.broadcast(n), "n_nationkey").groupBy("n_name").agg(F.sum("count").alias("n"))
 
 
-@query("SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 'p') GROUP BY p_name ORDER BY n DESC, p_name LIMIT 15")
+@query("SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 's') GROUP BY p_name ORDER BY n DESC, p_name LIMIT 15")
 def autocomplete(spark, d):
     """A11"""
-    hit = read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "p"))
+    hit = read(spark, d, "part").where(T.prefix_ilike(F.col("p_name"), "s"))
     return hit.groupBy("p_name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_name").limit(15)
 
 
@@ -376,7 +376,8 @@ def sampling(spark, d):
     return paging.even_sample(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], 25)
 
 
-@query("""SELECT event_id, coalesce(epoch_ms((SELECT min(x.ts) FROM events x WHERE x.user_id = e.user_id AND x.ts > e.ts)) - 1, 999999) AS end_ms FROM events e""")
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events)
+SELECT event_id, coalesce(min(ms) OVER (PARTITION BY user_id ORDER BY ms RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - 1, 999999)::BIGINT AS end_ms FROM e""")
 def next_distinct_end(spark, d):
     """Ends before the next distinct start."""
     ev = read(spark, d, "events").select("event_id", "user_id", F.unix_millis("ts").alias("ms"))
