@@ -59,10 +59,9 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         F.array_repeat(F.lit(False), p - F.when(k == 0, F.lit(-1)).otherwise(F.get("__cq_gone", k - 1)) - 1),
         F.array(F.lit(True)),
     )))
-    found = found.withColumn("__cq_flags", flags)
-    joined = F.when(F.col("__cq_gone").isNull(), F.col("__cq_text")).otherwise(
-        F.array_join(F.filter(F.split("__cq_text", "\n", -1), lambda x, i: ~F.coalesce(F.get("__cq_flags", i), F.lit(False))), "\n")
-    )
+    # zip_with evaluates both arrays once; a lambda that looked flags up would make them anew for each line
+    kept_lines = F.zip_with(F.split("__cq_text", "\n", -1), flags, lambda x, gone: F.when(~F.coalesce(gone, F.lit(False)), x))
+    joined = F.when(F.col("__cq_gone").isNull(), F.col("__cq_text")).otherwise(F.array_join(kept_lines, "\n"))
     lines_in = (F.char_length("__cq_text") - F.char_length(F.replace(F.col("__cq_text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return found.select(
         *[joined.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept],
