@@ -101,16 +101,26 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def learn(rows: DataFrame) -> Model:
-    """A model from rows with __cq_id, __cq_text and __cq_declared."""
-    size = F.octet_length("__cq_text")
-    some = rows.where(F.col("__cq_declared").isNotNull() & (size >= 100) & (size <= FIT_BYTES)).select("__cq_id", "__cq_declared", F.xxhash64("__cq_id").alias("h"), "__cq_text")
-    names = [r["__cq_declared"] for r in rows.where("__cq_declared IS NOT NULL").groupBy("__cq_declared").count().orderBy(F.desc("count"), "__cq_declared").limit(LANGUAGES).collect()]
-    texts, langs = [], []
-    for name in names:
-        for r in some.where(F.col("__cq_declared") == name).orderBy("h", "__cq_id", F.xxhash64("__cq_text")).limit(FIT_ROWS).collect():
-            texts.append(r["__cq_text"])
-            langs.append(name)
-    return fit(texts, langs)
+    """A model from rows with __cq_id, __cq_text and __cq_declared.
+
+    One pass counts the texts that a language could learn from, one more brings the few of them whose hashes
+    lie below the bound that leaves about twice FIT_ROWS; a bound that leaves too few is raised.
+    """
+    size, key = F.octet_length("__cq_text"), F.col("__cq_declared")
+    some = rows.where(key.isNotNull() & (size >= 100) & (size <= FIT_BYTES)).select("__cq_id", "__cq_declared", "__cq_text")
+    counts = some.groupBy(key).count().orderBy(F.desc("count"), "__cq_declared").limit(LANGUAGES).collect()
+    some = some.withColumn("th", F.xxhash64("__cq_text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("__cq_id", "th"), 1))
+    shares = {r["__cq_declared"]: min(1.0, 2 * FIT_ROWS / r["count"]) for r in counts}
+    found: dict[str, list[str]] = {}
+    while shares:
+        bounds = F.create_map(*[F.lit(x) for name, share in shares.items() for x in (name, min(int(share * 2.0**63), 2**63 - 1))])
+        below = some.where(F.col("h") <= F.try_element_at(bounds, key)).groupBy("__cq_declared", "h", "__cq_id", "th").agg(F.min("__cq_text").alias("text"))
+        got: dict[str, list] = {}
+        for r in below.collect():
+            got.setdefault(r["__cq_declared"], []).append(((r["h"], r["__cq_id"] is None, r["__cq_id"] or 0, r["th"]), r["text"]))
+        found |= {name: [t for _, t in sorted(got.get(name, []))[:FIT_ROWS]] for name in shares}
+        shares = {name: min(1.0, 8 * share) for name, share in shares.items() if share < 1 and len(found[name]) < FIT_ROWS}
+    return fit([t for texts in found.values() for t in texts], [name for name, texts in found.items() for _ in texts])
 
 
 def suffix_of(host: Column) -> Column:
