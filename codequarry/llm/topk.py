@@ -27,7 +27,7 @@ BINS = 512
 #: Queries scored in one pass; bounds the broadcast to QUERY_BLOCK vectors.
 QUERY_BLOCK = 4096
 _ROWS = 1024
-LIMIT = 2**62
+LIMIT = 2**61
 
 
 def quantised(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -47,7 +47,7 @@ def quantised(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products as int64; exact, and held within +-2**62."""
+    """Inner products as int64; exact, and held within +-2**61."""
     most = (np.abs(a).max(initial=0.0)) * (np.abs(b).max(initial=0.0)) * max(a.shape[1], 1)
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
@@ -160,7 +160,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "
     rows with a null id. A row with the query's id is the query's own. Vectors
     of another length than the query's are no candidates; two empty ones score 0. Ties go to the smaller id. Repeated
     rows are candidates each. A repeated query id counts once, by its first vector in
-    component order. Scores beyond 2**62 either way are held there. Fewer than k candidates: all of
+    component order. Scores beyond 2**61 either way are held there. Fewer than k candidates: all of
     them. An empty table gives an empty result.
 
     Queries are taken QUERY_BLOCK at a time, each block against all rows.
