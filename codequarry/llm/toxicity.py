@@ -32,6 +32,9 @@ ORDER, GAP, DECAY, WINDOW = 4, 2, 0.5, 10
 #: Most labelled documents of each label to learn from, and most bytes of one.
 FIT_ROWS, FIT_BYTES = 1500, 32_768
 LANDMARKS = 40
+STRENGTH = 0.25
+#: Fits of one machine, each with the windows of clean texts that the ones before took for toxic.
+ROUNDS = 4
 _SIGNS, _END = 28, 27
 _SPREADS = [(0, *c) for c in itertools.combinations(range(1, ORDER + GAP), ORDER - 1)]
 _PAD = np.array([0, *[_END] * (ORDER + GAP), 0], np.uint8)
@@ -112,16 +115,19 @@ class Machine:
 
     def windows(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Each row's largest window sum; 0 for rows without any sequence."""
+        if len(ends) < 2:
+            return np.zeros(0)
         s, offsets = signs(data, ends)
         at = np.zeros(len(s), np.float32)
         for weight, codes in _codes_at(s):
             at[: len(codes)] += np.float32(weight) * self.table[codes]
         total = np.concatenate([[0.0], np.cumsum(at, dtype=np.float64)])
-        # places beyond a row's end are pad and sum to nothing, so windows may run over it
-        sums = total[np.minimum(np.arange(len(at)) + WINDOW, len(at))] - total[:-1]
-        if len(ends) < 2:
-            return np.zeros(0)
-        return np.maximum.reduceat(sums, offsets[:-1] - 1)
+        # a row begins at the sign 0 before it and ends at the one before the next row; no window runs past that
+        begins = offsets[:-1] - 1
+        stops = np.append(begins[1:], len(at))
+        first = np.arange(begins[0], len(at))
+        sums = total[np.minimum(first + WINDOW, np.repeat(stops, stops - begins))] - total[first]
+        return np.maximum.reduceat(sums, begins - begins[0])
 
     def probability(self, largest: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * largest + self.offset, -30, 30)))
@@ -164,7 +170,10 @@ def _units(text: str) -> set[str]:
 
 
 def _mined(toxic: list[str], clean: list[str]) -> list[str]:
-    """Words and stems by how far their share of toxic texts is beyond their share of clean ones, none the beginning of another."""
+    """Words and stems by how far their share of toxic texts is beyond their share of clean ones, none the beginning of another.
+
+    One with less than STRENGTH of the strongest one's chi-square is held to be chance, such as a wrong label that copies share.
+    """
     seen: list[dict[str, int]] = [{}, {}]
     for k, texts in enumerate((toxic, clean)):
         for t in texts:
@@ -176,11 +185,12 @@ def _mined(toxic: list[str], clean: list[str]) -> list[str]:
         m = seen[1].get(u, 0)
         p, q, r = n / a, m / b, (n + m) / (a + b)
         if n >= max(5, 0.02 * a) and p > 8 * q and r < 1:
-            rated.append(((p - q) ** 2 / (r * (1 - r) * (1 / a + 1 / b)), u))
+            closed = 1.0 if u.endswith(" ") else 0.95  # a stem has to beat its words clearly
+            rated.append((closed * (p - q) ** 2 / (r * (1 - r) * (1 / a + 1 / b)), u))
     rated.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     out: list[str] = []
     for z, u in rated:
-        if z >= 0.1 * rated[0][0] and len(out) < LANDMARKS and not any(u.startswith(x.rstrip()) or x.startswith(u.rstrip()) for x in out):
+        if z >= STRENGTH * rated[0][0] and len(out) < LANDMARKS and not any(u.startswith(x.rstrip()) or x.startswith(u.rstrip()) for x in out):
             out.append(u)
     return out
 
@@ -278,11 +288,36 @@ def _fitted(toxic: list[str], clean: list[str], marks: list[str], more: list[str
     # landmarks with a sign put in are toxic sentences too
     varied = [v for w in marks for v in _variants(w)]
     ka, _ = instances(varied)
-    x = np.concatenate([kp[positive], ka, kn[hard]]) @ root
-    y = np.concatenate([np.ones(int(positive.sum()) + len(ka)), -np.ones(len(hard))])
-    w, _ = _svm(x, y)
+    def highest(texts, table):
+        """Kernel values of each text's window of the highest score."""
+        out = np.zeros((len(texts), len(lands)))
+        for k, t in enumerate(texts):
+            s, _ = signs(*buffers(pa.array([t])))
+            at, spreads = np.zeros(len(s) + WINDOW, np.float32), _codes_at(s)
+            for weight, codes in spreads:
+                at[: len(codes)] += np.float32(weight) * table[codes]
+            i = int(np.argmax(np.convolve(at, np.ones(WINDOW, np.float32), "valid")))
+            for weight, codes in spreads:
+                u = where[codes[i : i + WINDOW]]
+                out[k] += weight * land[:, u[u >= 0]].sum(axis=1)
+        return out
+
+    def even(n):
+        return np.full(n, 1 / max(n, 1))
+
+    positives, negatives = np.concatenate([kp[positive], ka]), kn[hard]
+    mined: list[np.ndarray] = []
     table = np.zeros(_SIGNS**ORDER, np.float32)
-    table[list(index)] = (root @ w) @ land
+    for _ in range(ROUNDS):
+        # what the last machine took for toxic in clean texts weighs as much as all other clean windows
+        found = np.concatenate(mined) if mined else np.zeros((0, len(lands)))
+        x = np.concatenate([positives, negatives, found]) @ root
+        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives) + len(found))])
+        share = 0.25 if mined else 0.5
+        w, _ = _svm(x, y, np.concatenate([0.5 * even(len(positives)), share * even(len(negatives)), 0.25 * even(len(found))]))
+        table = np.zeros(_SIGNS**ORDER, np.float32)
+        table[list(index)] = (root @ w) @ land
+        mined.append(highest(clean, table))
     machine = Machine(table, 1.0, 0.0, lands)
     a, v, c = (np.concatenate([machine.windows(*buffers(pa.array(texts[i : i + 200]))) for i in range(0, len(texts), 200)]) for texts in (toxic, varied, clean))
     machine.slope, machine.offset = _curve(a, v, c)
@@ -299,10 +334,9 @@ def _sentences(text: str) -> list[str]:
     return [part for line in text.split("\n") for part in line.replace("! ", ". ").replace("? ", ". ").split(". ")]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear squared-hinge machine by Newton steps; both labels weigh alike."""
+def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear squared-hinge machine by Newton steps; c: what each row weighs."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    c = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     w = np.zeros(x.shape[1])
     keep = ridge * np.eye(len(w))
     keep[-1, -1] = 1e-9
