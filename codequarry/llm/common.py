@@ -42,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of keys (two longs or so) that are broadcast at most: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def keys_side(df: DataFrame) -> DataFrame:
+    """Narrow rows for one side of a join, cut; to be broadcast if there are few, else left to a shuffled join."""
+    df = cut(df)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

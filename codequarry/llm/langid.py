@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import buffers, cut, read, steps
+from codequarry.llm.common import buffers, cut, keys_side, read, steps
 from codequarry.ship import map_arrow
 
 FIT_ROWS, FIT_BYTES, LANGUAGES = 200, 8192, 32
@@ -203,7 +203,7 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are kept, as they are; only the rejected ones' keys meet the texts."""
-    gone = identify(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__cq_gone"), F.col("text_hash").alias("__cq_th"))
+    gone = keys_side(identify(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__cq_gone"), F.col("text_hash").alias("__cq_th")))
     same = docs["doc_id"].eqNullSafe(F.col("__cq_gone")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__cq_th"))
     return docs.join(gone, same, "left_anti")
 

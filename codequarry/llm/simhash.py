@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import buffers, cut, read, steps
+from codequarry.llm.common import buffers, cut, keys_side, read, steps
 from codequarry.llm.components import connected_components
 from codequarry.ship import map_arrow
 
@@ -231,6 +231,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = near_duplicates(docs).where("doc_id IS NOT NULL")
     gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays").select(F.col("doc_id").alias("__cq_gone"))
+    gone = keys_side(gone)
     return docs.join(gone, F.col("doc_id") == F.col("__cq_gone"), "left_anti")
 
 
