@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     now = cut(edges.where(F.col(a) != F.col(b)).select(*x).distinct())
     size = None
     for _ in range(most_rounds):
-        # large star: hi neighbours of u go to the least of u and its neighbours
-        both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = now.select(F.col("lo").alias("u"), "hi").join(least, "u").select(F.col("m").alias("lo"), "hi").distinct()
+        # large star: hi neighbours of u go to the least of u and its neighbours, which is u unless u has smaller ones.
+        # The least ones are cut off so that a node with very many edges can be split between tasks.
+        least = cut(now.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m")))
+        large = now.join(least, F.col("lo") == F.col("u"), "left").select(F.coalesce("m", "lo").alias("lo"), "hi").distinct()
         # small star: u and its smaller neighbours go to the least of them
         small = large.groupBy("hi").agg(F.min("lo").alias("m"))
         next_ = large.join(small, "hi").select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
