@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import WHITESPACE, lower_ascii, read, replace_column
+from codequarry.llm.common import WHITESPACE, cut, lower_ascii, read, replace_column
 
 LAST_ID = 2**63 - 1
 
@@ -41,7 +41,8 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         .where(F.char_length("__cq_key") >= min_chars)
         .select("__cq_id", "__cq_th", "__cq_pos", F.xxhash64("__cq_key").alias("__cq_h1"), F.xxhash64(F.lit(7), "__cq_key").alias("__cq_h2"))
     )
-    shared = (
+    # cut, so that it is a side of its own and a line of very many documents can be split between tasks
+    shared = cut(
         hashed.groupBy("__cq_h1", "__cq_h2")
         .agg(F.min("__cq_id").alias("__cq_first"), F.max("__cq_id").alias("__cq_last"))
         .where("__cq_first < __cq_last")
