@@ -17,7 +17,7 @@ from codequarry.llm.common import cut, read, shared_dir
 
 SLOTS = 4096
 SHARDS = 24
-MAP_SCHEMA = "version int, shards int, slot int, shard int"
+MAP_SCHEMA = "version int, shards int, slot int, shard int, rows long, bytes long"
 
 
 @dataclass(frozen=True)
@@ -81,23 +81,39 @@ class SlotMapStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def save(self, m: SlotMap) -> None:
-        rows = [(m.version, m.shards, s, k) for s, k in enumerate(m.owner)]
+    def save(self, m: SlotMap, loads: dict[int, tuple[int, int]] | None = None) -> None:
+        """loads: rows and bytes of each slot as the version was made; absent ones have none."""
+        rows = [(m.version, m.shards, s, k, *((loads or {}).get(s, (0, 0)))) for s, k in enumerate(m.owner)]
         self.spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/v{m.version:06d}")
 
     def load(self, version: int) -> SlotMap:
         rows = sorted(self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.path}/v{version:06d}").collect(), key=lambda r: r["slot"])
         return SlotMap(version, rows[0]["shards"], tuple(r["shard"] for r in rows))
 
+    def loads(self, version: int) -> DataFrame:
+        """shard, slots, rows and bytes of a version: what a decision to rebalance goes by."""
+        rows = self.spark.read.schema(MAP_SCHEMA).parquet(f"{self.path}/v{version:06d}")
+        return rows.groupBy("shard").agg(F.count("*").alias("slots"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
-def slot_loads(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """Rows and bytes of each virtual slot that has rows: slot, rows, bytes."""
-    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + 8
-    return docs.select(virtual_slot(F.col(f"`{id_col}`"), slots).alias("slot"), size.alias("b")).groupBy("slot").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"))
+def placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+    """doc_id, size, text_crc32 and virtual_slot of each row."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+    ).withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots))
+
+
+def loads_of(rows: DataFrame) -> dict[int, tuple[int, int]]:
+    """Rows and bytes of each virtual slot that has rows; at most one entry a slot."""
+    sums = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
+    return {r["virtual_slot"]: (r["n"], r["b"]) for r in sums.collect()}
 
 
 def assign(docs: DataFrame, now: SlotMap, later: SlotMap, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,13 +127,12 @@ def assign(docs: DataFrame, now: SlotMap, later: SlotMap, *, id_col: str = "doc_
     A null id is a key like any other. A null text has size 8 and checksum 0. Repeated
     rows each have a position. An empty table gives none.
     """
+    return numbered(cut(placed(docs, id_col=id_col, text_col=text_col, slots=len(now.owner))), now, later)
+
+
+def numbered(rows: DataFrame, now: SlotMap, later: SlotMap) -> DataFrame:
+    """assign() of rows of placed(), which must be cut."""
     slots = len(now.owner)
-    text = F.col(f"`{text_col}`")
-    rows = cut(docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("virtual_slot", virtual_slot(F.col("doc_id"), slots)))
     loads = rows.groupBy("virtual_slot").agg(F.count("*").alias("n"))  # at most one row a slot
     mean = F.greatest(F.sum("n").over(Window.partitionBy()) / slots, F.lit(64.0))
     parts = loads.select("virtual_slot", F.when(F.col("n") > 4 * mean, F.ceil(F.col("n") / mean)).otherwise(1).cast("int").alias("parts"))
@@ -136,9 +151,10 @@ def assign(docs: DataFrame, now: SlotMap, later: SlotMap, *, id_col: str = "doc_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    rows = cut(placed(read(spark, sf_dir, "documents")))
+    loads = loads_of(rows)
     store = SlotMapStore(spark, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     first = SlotMap.first(SHARDS)
-    store.save(first)
-    store.save(first.grown())
-    docs = read(spark, sf_dir, "documents")
-    return assign(docs, store.load(1), store.load(2))
+    store.save(first, loads)
+    store.save(first.grown(), loads)
+    return numbered(rows, store.load(1), store.load(2))
