@@ -82,8 +82,8 @@ def char_trigrams(text: Column) -> Column:
     """The distinct trigrams of a text's characters."""
     c = F.split(F.lower(text), "")
     n = F.greatest(F.size(c) - 2, F.lit(0))
-    two = F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), F.concat)
-    return F.array_distinct(F.zip_with(two, F.slice(c, 3, n), F.concat))
+    join = lambda x, y: F.concat(x, y)
+    return F.array_distinct(F.zip_with(F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), join), F.slice(c, 3, n), join))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,7 +177,12 @@ class Index:
         return self._located(rows, literal_locations, literal, skip, limit, mode)
 
     def search_regex(self, pattern: str, *, skip: int = 0, limit: int = 50, mode: str = "smallest", **scope) -> DataFrame:
-        """Places of a regular expression; flags are written within it, as (?i)."""
+        """Places of a regular expression; flags are written within it, as (?i). It must be one in Java and in Python."""
+        try:
+            self.spark._jvm.java.util.regex.Pattern.compile(pattern)
+            re.compile(pattern)
+        except (Py4JJavaError, re.error) as e:
+            raise QueryError(f"not a regular expression: {pattern!r}") from e
         rows = compiler.scope(self.table("files"), **scope).where(F.col("source").rlike(pattern))
         return self._located(rows, regex_locations, pattern, skip, limit, mode)
 
@@ -230,8 +237,6 @@ class Index:
         if not found or not found["fragments"]:
             raise QueryError("the source has no fragment")
         mine = max(found["fragments"], key=lambda f: (f["mass"], -f["ordinal"]))
-        if found["fragments"][0]["kind"] == "module" and len(found["fragments"]) > 1 and mine["kind"] == "module":
-            pass
         rows = compiler.scope(self.table("fragments"), **scope)
         hashes = F.array(*[F.lit(h) for h in mine["sub_hashes"]]).cast("array<long>")
         if prefilter == "subhash" or prefilter == "auto" and min_similarity >= 0.8 and mine["sub_hashes"]:
