@@ -286,7 +286,7 @@ def shard_counts_merge(spark, d):
     """Counts of shards, merged by name."""
     n = read(spark, d, "nation")
     parts = [read(spark, d, t).groupBy(F.col(k).alias("n_nationkey")).count() for t, k in (("customer", "c_nationkey"), ("supplier", "s_nationkey"))]
-    return parts[0].unionByName(parts[1]).join(F.broadcast(n), "n_nationkey").groupBy("n_name").agg(F.sum("count").alias("n"))
+    return parts[0].unionByName(parts[1]).join(n, "n_nationkey").groupBy("n_name").agg(F.sum("count").alias("n"))
 
 
 @query("SELECT p_name, count(*) AS n FROM part WHERE starts_with(lower(p_name), 's') GROUP BY p_name ORDER BY n DESC, p_name LIMIT 15")
@@ -409,7 +409,7 @@ def stage_timings(spark, d):
 @query("SELECT c_mktsegment, n_name, string_agg(c_name, ',' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def result_groups(spark, d):
     """Results grouped for display, in order."""
-    j = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("c_mktsegment", "n_name").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("names"))
 
 
@@ -439,3 +439,112 @@ def table_counts(spark, d):
 def glob_filter(spark, d):
     """Path globs."""
     return read(spark, d, "pages").where(F.col("url").rlike("^https?://[^/]*/en/[^/]*$")).select("page_id", F.col("html").alias("source"), "url")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity, false AS "new" FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity + 1, true FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P'""")
+def fact_replace(spark, d):
+    """K5: the facts of some owners replaced, the others' left as they are."""
+    old = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    owners = read(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    mine = old.join(owners, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select("l_orderkey", "l_linenumber", (F.col("l_quantity") + 1).alias("l_quantity"))
+    kept = old.join(owners, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")
+    return kept.withColumn("new", F.lit(False)).unionByName(mine.withColumn("new", F.lit(True)))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, 'kept' AS origin FROM supplier
+UNION ALL SELECT c_custkey, c_name, 'new' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def insert_if_absent(spark, d):
+    """K1, K2: new rows appended where no row has their key."""
+    old = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("kept").alias("origin"))
+    new = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("new").alias("origin"))
+    return old.unionByName(new.join(old.select("id"), "id", "left_anti").select("id", "name", "origin"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), x AS (SELECT p_partkey AS id FROM part WHERE p_size > 25),
+n AS (SELECT p_brand AS brand, min(p_partkey) AS by_name FROM part WHERE p_size > 25 GROUP BY p_brand)
+SELECT l_suppkey AS caller, l_partkey AS callee, coalesce(x.id, n.by_name) AS node FROM e JOIN part q ON q.p_partkey = l_partkey
+LEFT JOIN x ON x.id = l_partkey LEFT JOIN n ON n.brand = q.p_brand WHERE coalesce(x.id, n.by_name) IS NOT NULL""")
+def graph_resolve(spark, d):
+    """Both ends of an edge resolved by their own id, else by name; unresolved edges go."""
+    part = read(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    known = part.where("p_size > 25")
+    by_id = known.select(F.col("p_partkey").alias("id"))
+    by_name = known.groupBy(F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("by_name"))
+    e = read(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(part.drop("p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    e = e.join(by_id, F.col("l_partkey") == F.col("id"), "left").join(by_name, F.col("p_brand") == F.col("brand"), "left")
+    return e.select(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"), F.coalesce("id", "by_name").alias("node")).where("node IS NOT NULL")
+
+
+@query(f"""WITH {_OPEN} SELECT e.event_id, arg_max(o_id, (o_ts, o_id)) AS o_id FROM events e LEFT JOIN o ON e.user_id = o_user AND e.ts > o_ts WHERE e.event_type = 'view' GROUP BY e.event_id""")
+def enclosing_latest(spark, d):
+    """Of the intervals open at a point, the one that began last."""
+    ev = read(spark, d, "events")
+    points = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    o = ev.where("event_type = 'signup'").select(F.col("event_id").alias("o_id"), F.col("user_id").alias("o_user"), F.col("ts").alias("o_ts"))
+    held = points.join(o, (F.col("user_id") == F.col("o_user")) & (F.col("ts") > F.col("o_ts")), "left")
+    return held.groupBy("event_id").agg(F.max_by("o_id", F.struct("o_ts", "o_id")).alias("o_id"))
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'blue') ORDER BY p_name, p_partkey""")
+def symbol_search(spark, d):
+    """Names that hold a text, whatever the case."""
+    return read(spark, d, "part").where(T.icontains(F.col("p_name"), "BLUE")).select("p_partkey", "p_name").orderBy("p_name", "p_partkey")
+
+
+@query("""SELECT conv_id, turn, role, text FROM conversations WHERE contains(text, 'the')""")
+def comment_search(spark, d):
+    """Comments that hold a literal, with their places."""
+    return read(spark, d, "conversations").where(F.col("text").contains("the")).select("conv_id", "turn", "role", "text")
+
+
+@query("""SELECT o_orderpriority AS batch, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'F') AS error,
+coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F' AND o_totalprice > 300000), '') AS failures FROM orders GROUP BY o_orderpriority""")
+def run_merge(spark, d):
+    """Outcomes of a run's parts summed, failures in order."""
+    is_ = lambda s: F.count(F.when(F.col("o_orderstatus") == s, 1))
+    failed = F.collect_list(F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), F.col("o_orderkey")))
+    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(
+        is_("O").alias("ok"), is_("P").alias("skipped"), is_("F").alias("error"), F.array_join(F.array_sort(failed).cast("array<string>"), ",").alias("failures")
+    )
+
+
+@query("""SELECT doc_id, i AS line, 1 + list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * 8 AS "column" FROM (
+  SELECT doc_id, i, string_split(ls[i], 'Licensed') AS parts, unnest(range(1, len(string_split(ls[i], 'Licensed')))) AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, 'Licensed'))))""")
+def text_locations(spark, d):
+    """Lines and columns of a literal."""
+    lines = read(spark, d, "documents").where(F.col("text").contains("Licensed")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line_text"))
+    parts = lines.select("doc_id", "i", F.split("line_text", "Licensed", -1).alias("parts"))
+    each = parts.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.explode(F.slice(F.sequence(F.lit(0), F.size("parts") - 1), 2, F.greatest(F.size("parts") - 1, F.lit(0)))).alias("k"), "parts")
+    before = F.aggregate(F.slice("parts", 1, F.col("k")), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
+    return each.select("doc_id", "line", (before + (F.col("k") - 1) * 8 + 1).alias("column"))
+
+
+@query("""SELECT p_partkey, string_agg(g, ' ' ORDER BY g) AS trigrams FROM (SELECT DISTINCT p_partkey, substr(lower(p_name), i, 3) AS g FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) - 1)) AS i FROM part)) GROUP BY p_partkey""")
+def char_trigrams(spark, d):
+    """the distinct trigrams of a name."""
+    grams = F.array_join(F.array_sort(T.char_trigrams(F.col("p_name"))), " ")
+    return read(spark, d, "part").where(F.char_length("p_name") >= 3).select("p_partkey", grams.alias("trigrams"))
+
+
+@query("""SELECT c_nationkey % 4 AS shard, c_custkey, c_name FROM customer WHERE c_nationkey = 7""")
+def shard_prune(spark, d):
+    """A package's rows from the shard that a manifest names as its owner, and from no other."""
+    rows = read(spark, d, "customer").withColumn("shard", F.pmod("c_nationkey", F.lit(4)))
+    manifest = read(spark, d, "nation").select("n_nationkey", F.pmod("n_nationkey", F.lit(4)).alias("owner"))
+    (owner,) = [r["owner"] for r in manifest.where("n_nationkey = 7").collect()]  # one package
+    return rows.where((F.col("shard") == owner) & (F.col("c_nationkey") == 7)).select("shard", "c_custkey", "c_name")
+
+
+@query(f"""WITH {_POST}, r AS (SELECT term, doc_id FROM p WHERE term >= 'th' AND term < 'ti') SELECT term, doc_id FROM r""")
+def posting_range(spark, d):
+    """K9: postings clustered by term, read by a range of terms."""
+    return postings.clustered(_post(spark, d), 8, "term", "doc_id").where("term >= 'th' AND term < 'ti'").select("term", "doc_id")
+
+
+@query("""SELECT l_suppkey AS caller, l_partkey AS callee, count(*) AS sites FROM lineitem WHERE l_partkey BETWEEN 10 AND 20 GROUP BY ALL""")
+def call_edges_in_order(spark, d):
+    """Edges in order of caller and callee."""
+    e = read(spark, d, "lineitem").where(F.col("l_partkey").between(10, 20)).groupBy(F.col("l_suppkey").alias("caller"), F.col("l_partkey").alias("callee"))
+    return e.agg(F.count("*").alias("sites")).orderBy("caller", "callee")
