@@ -133,7 +133,7 @@ def find(words: np.ndarray, offsets: np.ndarray, tests: Tests, window: int = WIN
             ws = np.flatnonzero(tests.lengths == length)
             if len(ws):
                 begin, by = tests.starts[ws], length - k
-                need = test[tests.starts + by] if by else None
+                need = test[np.minimum(tests.starts + by, len(test) - 1)] if by else None  # asked for windows of this length only
 
                 def rest(at, w, length=length, by=by, train=train, need=need):
                     fits = left[at] >= length
