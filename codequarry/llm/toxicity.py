@@ -64,7 +64,11 @@ def signs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n:
         letter = np.zeros(n + 4, bool)
         letter[2:-2] = code > 0
-        inner = ~letter[2:-2] & letter[1:-3] & letter[3:-1] & ~letter[:-4] & ~letter[4:]
+        before1, before2, after1, after2 = (letter[i : i + n].copy() for i in (1, 0, 3, 4))
+        for shifted, edges in ((before1, (ends[:-1],)), (before2, (ends[:-1], ends[:-1] + 1)), (after1, (ends[1:] - 1,)), (after2, (ends[1:] - 1, ends[1:] - 2))):
+            for at in edges:  # what lies in another row is no letter of this one
+                shifted[at[(at >= 0) & (at < n)]] = False
+        inner = ~letter[2:-2] & before1 & after1 & ~before2 & ~after2
         keep &= ~inner
     before = np.concatenate([[0], np.cumsum(keep)])
     new = before[ends]
