@@ -18,7 +18,7 @@ from codequarry.operators.joins import first_by
 from codequarry.ship import map_pandas
 
 _SYMBOLS = "array<struct<kind:string,module:string,name:string,arity:int,qualified_name:string,line:int,`column`:int,owner:int>>"
-_EXTRACTED = (
+EXTRACTED = (
     "package_id long, package_version_id long, file_id long, path string, ok boolean, ast string, "
     "fragments array<struct<ordinal:int,kind:string,module:string,name:string,arity:int,line:int,end_line:int,last_line:int,mass:int,exact_hash:string,sub_hashes:array<bigint>,terms:array<string>,ast:string>>, "
     f"definitions {_SYMBOLS}, `references` {_SYMBOLS}, comments array<struct<text:string,line:int,`column`:int,owner:int>>, "
@@ -39,7 +39,7 @@ def owner_of(fragments: list[dict], line: int) -> int | None:
     return best["ordinal"] if best else None
 
 
-def _extract(frames, min_mass: int, generated_min_mass: int | None):
+def extract(frames, min_mass: int, generated_min_mass: int | None):
     for frame in frames:
         rows = []
         for r in frame.itertuples(index=False):
@@ -111,7 +111,7 @@ class Store:
         )
         staged = f"{self.root}/_staged"
         rows = keyed.select("package_id", "package_version_id", "file_id", "path", "source")
-        map_pandas(rows, lambda frames: _extract(frames, min_mass, generated_min_mass), _EXTRACTED).write.mode("overwrite").parquet(staged)
+        map_pandas(rows, lambda frames: extract(frames, min_mass, generated_min_mass), EXTRACTED).write.mode("overwrite").parquet(staged)
         got = self.spark.read.parquet(staged)
         nothing = F.lit(None).cast("map<string,string>")
         versions = keyed.groupBy("package_version_id", "package_id", "ecosystem", "name", "version").agg(F.max("source_ref").alias("source_ref"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2("source", 256))), ""), 256).alias("checksum"))
