@@ -94,18 +94,38 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return map_arrow(narrow, run, "doc_id long, fp long")
 
 
-def _ring_rows(classes: DataFrame) -> DataFrame:
-    """key, fp: each fingerprint under its own five keys and those one bit away in the second segment."""
-    fp, keys = F.col("fp"), []
+def _own_keys() -> list:
+    """The five keys of a column fp: the segment's number, the segment, and the one after it."""
+    out = []
     for i in range(5):
         j = (i + 1) % 5
-        one = F.shiftrightunsigned(fp, STARTS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
-        two = F.shiftrightunsigned(fp, STARTS[j]).bitwiseAND(F.lit((1 << WIDTHS[j]) - 1))
-        key = F.lit(i << 26).bitwiseOR(F.shiftleft(one, 13)).bitwiseOR(two).cast("long")
-        keys += [key] + [key.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(WIDTHS[j])]
+        one = F.shiftrightunsigned("fp", STARTS[i]).bitwiseAND(F.lit((1 << WIDTHS[i]) - 1))
+        two = F.shiftrightunsigned("fp", STARTS[j]).bitwiseAND(F.lit((1 << WIDTHS[j]) - 1))
+        out.append(F.lit(i << 26).bitwiseOR(F.shiftleft(one, 13)).bitwiseOR(two).cast("long"))
+    return out
+
+
+def _beside(key, width: int = 13) -> list:
+    """A key and those one bit away in the second segment."""
+    return [key, *(key.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width))]
+
+
+def _ring_rows(classes: DataFrame) -> DataFrame:
+    """key, fp: each fingerprint under its own five keys and those one bit away in the second segment."""
+    keys = [k for i, own in enumerate(_own_keys()) for k in _beside(own, WIDTHS[(i + 1) % 5])]
     return classes.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
+def _large_keys(classes: DataFrame) -> DataFrame:
+    """key, n: all keys that may have more than BLOCK rows, and no less than what they have.
+
+    A key's rows are those that own it or one of the 13 beside it, so one of the 14 is owned by more than a
+    fourteenth of BLOCK. Only owned keys are counted, five for a fingerprint.
+    """
+    owned = classes.select(F.explode(F.array(*_own_keys())).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 14)
+    return owned.select(F.explode(F.array(*_beside(F.col("key")))).alias("key"), "n").groupBy("key").agg((F.sum("n") + BLOCK).alias("n"))
+
+
 def _own_key(fp: np.ndarray, i: np.ndarray) -> np.ndarray:
     starts, widths = np.array(STARTS, np.uint64), np.array(WIDTHS, np.uint64)
     j = (i + 1) % 5
@@ -193,16 +213,16 @@ def _link_rows(batches):
 
 def links(classes: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints that connect all that DISTANCE bits connect; some of them only."""
-    rows = _ring_rows(classes)
-    n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)  # few: each has over BLOCK rows
-    tagged = rows.join(counts, "key", "left")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes become many rows: they are dealt out evenly before that
+    rows = _ring_rows(classes.select("fp").repartition(n, "fp"))
+    tagged = rows.join(keys_side(_large_keys(classes)), "key", "left")
     blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(3)), blocks).cast("int")
     # a block meets each other block, and itself, in a part of its own
     parts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(own, o) * blocks + F.greatest(own, o))
     dealt = tagged.select("key", "fp", F.explode(parts).alias("part"))
-    dealt = dealt.repartition(int(n), "key", "part").sortWithinPartitions("key", "part")
+    dealt = dealt.repartition(n, "key", "part").sortWithinPartitions("key", "part")
     return map_arrow(dealt.select("key", F.col("part").cast("long").alias("part"), "fp"), _link_rows, "a long, b long")
 
 
