@@ -46,10 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def keys_side(df: DataFrame) -> DataFrame:
-    """Narrow rows for one side of a join, cut; to be broadcast if there are few, else left to a shuffled join."""
+def keys_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows for one side of a join, cut; to be broadcast if there are few, else left to a shuffled join that can be split."""
     df = cut(df)
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

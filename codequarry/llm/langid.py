@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import buffers, cut, keys_side, read, steps
+from codequarry.llm.common import BROADCAST_ROWS, buffers, cut, keys_side, read, steps
 from codequarry.ship import map_arrow
 
 FIT_ROWS, FIT_BYTES, LANGUAGES = 200, 8192, 32
@@ -177,7 +177,8 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     s_all, h_all = (sum((F.col(f"{c}{i}") for i in range(n)), F.lit(0.0)) for c in "sh")
     prior_s = [(F.col(f"s{i}") + KAPPA * world[i]) / (s_all + KAPPA) for i in range(n)]
     prior_h = F.array(*[F.log((F.col(f"h{i}") + KAPPA * prior_s[i]) / (h_all + KAPPA)) for i in range(n)])
-    hosts = hosts.join(suffixes, "suffix").select("__cq_host", prior_h.alias("prior"))
+    # priors are wider than keys, so fewer are broadcast
+    hosts = keys_side(hosts.join(suffixes, "suffix").select("__cq_host", prior_h.alias("prior")), BROADCAST_ROWS // 10)
     # how often documents of each language declare what
     said = scored.where("__cq_declared IS NOT NULL").groupBy("__cq_declared").agg(*[s.alias(f"d{i}") for i, s in enumerate(sums("p"))])
     of = said.agg(*[F.sum(f"d{i}") for i in range(n)], F.count("*").alias("kinds")).first()
