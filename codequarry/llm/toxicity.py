@@ -207,6 +207,11 @@ def fit(toxic: list[str], clean: list[str]) -> Machine:
     """
     toxic, clean = _distinct(toxic), _distinct(clean)
     marks = _mined(toxic, clean)
+    if marks:  # what marks few of the toxic texts, as those of one language, is rated among the texts that have no mark yet
+        left = [t for t in toxic if not any(u == m if m.endswith(" ") else u.startswith(m) for u in _units(t) for m in marks)]
+        if len(left) >= max(20, 0.1 * len(toxic)):
+            more = [u for u in _mined(left, clean) if not any(u.startswith(m.rstrip()) for m in marks)]
+            marks += more[: LANDMARKS - len(marks)]
     if not marks or not clean:
         return Machine(np.zeros(_SIGNS**ORDER, np.float32), 0.0, -4.0, [])
     machine = _fitted(toxic, clean, marks, [])

@@ -118,6 +118,6 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     got = [(labels[r["doc_id"]], r["score"], r["predicted"]) for r in tox.query(spark, sf).where("held_out").collect() if labels.get(r["doc_id"]) is not None]
     bad, good = [s for y, s, _ in got if y], [s for y, s, _ in got if not y]
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in bad for b in good])
-    # one label in twenty is wrong: a text marked without any such word, or the reverse
-    assert len(bad) > 20 and auc >= 0.8
+    # stems of insults occur by chance in clean texts of this table, so it is harder than most
+    assert len(bad) > 20 and auc >= 0.9
     assert sum(y == p for y, _, p in got) >= 0.95 * len(got)
