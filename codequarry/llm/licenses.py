@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
-Texts and templates are sets of five-word shingles. A template of S shingles belongs to
+Texts and templates are sets of five-word shingles; a template of fewer words is one shingle of
+its whole length, and met by the texts' shingles of that length. A template of S shingles belongs to
 a size c of at least 1.25 S; windows of 2 c shingles begin at every c-th shingle, so any
 stretch as long as 1.25 templates lies whole in one window. A window that holds 80 % of
 a template has a Jaccard similarity of at least 0.8 S / (2 c + 0.2 S) with it, and the number of
@@ -55,26 +56,37 @@ following disclaimer in the documentation and/or other materials provided with t
 compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
 non-commercial, and by any means.""",
 }
+#: Notices of fewer than five words.
+SHORT_NOTICES = {"all-rights-reserved-notice": "All rights reserved."}
 
 
-def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all five-word shingles, end to end, and the rows' offsets; a row of n words has n - 4 or none."""
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, end to end, and the rows' offsets."""
     data, ends = buffers(texts)
     data = LOWER_TABLE[data]
     starts, stops, words = word_spans(data, ends, ALNUM)
-    h = word_hashes(data, starts, stops)
-    n = np.maximum(np.diff(words) - (SHINGLE - 1), 0)
+    return mix(word_hashes(data, starts, stops)), words
+
+
+def _runs(h: np.ndarray, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of size words within a row, end to end, and the rows' offsets."""
+    n = np.maximum(np.diff(words) - (size - 1), 0)
     offsets = np.concatenate([[0], np.cumsum(n)])
-    if len(h) < SHINGLE:
+    if len(h) < size:
         return np.zeros(0, np.uint64), offsets
-    m = len(h) - SHINGLE + 1
+    m = len(h) - size + 1
     all_ = np.zeros(m, np.uint64)
-    for k in range(SHINGLE):
-        all_ += mix(h[k : k + m]) * _FACTORS[k]
+    for k in range(size):
+        all_ += h[k : k + m] * _FACTORS[k]
     at = np.arange(int(offsets[-1])) + np.repeat(words[:-1] - offsets[:-1], n)
     return mix(all_[at]), offsets
 
 
+def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of size words, end to end, and the rows' offsets; a row of n words has n - size + 1 or none."""
+    return _runs(*_hashed(texts), size)
+
+
 def bands_for(least: float, missed: float = MISSED) -> int:
     """Bands of one row so that sets of Jaccard similarity least miss each other with a chance of missed at most."""
     return math.ceil(math.log(missed) / math.log(1 - least))
@@ -90,14 +102,17 @@ class Templates:
     quick: np.ndarray | None = None
 
     @classmethod
-    def of(cls, texts: dict[str, str]) -> Templates:
-        """Templates of fewer than five words have no shingle and match nothing."""
-        names, sets = [], []
+    def of(cls, texts: dict[str, str]) -> dict[int, Templates]:
+        """Templates by the words of their shingles: five, or all of a shorter template's. One without words matches nothing."""
+        found: dict[int, dict[str, np.ndarray]] = {}
         for name, text in sorted(texts.items()):
-            h, _ = shingles(pa.array([text]))
-            if len(h):
-                names.append(name)
-                sets.append(np.unique(h))
+            h, words = _hashed(pa.array([text]))
+            if size := min(len(h), SHINGLE):
+                found.setdefault(size, {})[name] = np.unique(_runs(h, words, size)[0])
+        return {size: cls._built(list(sets), list(sets.values())) for size, sets in found.items()}
+
+    @classmethod
+    def _built(cls, names: list[str], sets: list[np.ndarray]) -> Templates:
         out = cls(names, sets)
         by: dict[int, list[int]] = {}
         for i, s in enumerate(sets):
@@ -109,7 +124,7 @@ class Templates:
             least = min(CONTAINMENT * len(sets[i]) / (2 * c + (1 - CONTAINMENT) * len(sets[i])) for i in mine)
             seeds = mix(np.arange(1, bands_for(least) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
             out.sizes[c] = mine, seeds, np.stack([_signature(sets[i][None, :], seeds)[0] for i in mine])
-        out.known = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+        out.known = np.unique(np.concatenate(sets))
         out.quick = np.zeros(1 << 16, bool)
         out.quick[(out.known >> np.uint64(48)).astype(np.int64)] = True
         return out
@@ -152,25 +167,28 @@ def find(h: np.ndarray, offsets: np.ndarray, t: Templates) -> list[tuple[int, in
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, containment and word (where the best window begins), a row for each template that a row of docs holds.
 
-    Among windows of one row the greatest containment wins, then the first. Null and empty texts and texts of
-    fewer than five words hold none. Repeated rows and rows with null ids each give their
+    Among windows of one row the greatest containment wins, then the first. Null and empty texts hold none, and texts of
+    fewer than five words none but shorter templates. Repeated rows and rows with null ids each give their
     own. Without templates, or with an empty table, there are no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates.of(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates.of(TEMPLATES | SHORT_NOTICES if templates is None else templates))
 
     def run(batches):
         t = shared.value
         for batch in batches:
             for part in steps(batch, "__cq_text"):
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                for r, i, share, at in find(*shingles(part.column("__cq_text")), t) if t.sets else []:
-                    old = best.get((r, i), (0.0, 0))
-                    if (share, -at) > (old[0], -old[1]) or (r, i) not in best:
-                        best[r, i] = share, at
+                best: dict[tuple[int, str], tuple[float, int]] = {}
+                h, words = _hashed(part.column("__cq_text"))
+                for size, some in t.items():
+                    for r, i, share, at in find(*_runs(h, words, size), some):
+                        key = r, some.names[i]
+                        old = best.get(key, (0.0, 0))
+                        if (share, -at) > (old[0], -old[1]) or key not in best:
+                            best[key] = share, at
                 ids = part.column("doc_id").to_pylist()
                 keys = sorted(best)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[r] for r, _ in keys], pa.int64()), pa.array([t.names[i] for _, i in keys], pa.string()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.int64())],
+                    [pa.array([ids[r] for r, _ in keys], pa.int64()), pa.array([name for _, name in keys], pa.string()), pa.array([best[k][0] for k in keys], pa.float64()), pa.array([best[k][1] for k in keys], pa.int64())],
                     ["doc_id", "license", "containment", "word"],
                 )
 

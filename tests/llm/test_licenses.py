@@ -75,3 +75,13 @@ def test_nulls_repeats_empty_tables_and_other_templates(spark):
     assert sorted(((r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()), key=str) == sorted([(None, "mit-notice"), (2, "mit-notice"), (2, "mit-notice")], key=str)
     assert licenses.scan(docs.limit(0)).count() == 0 and licenses.scan(docs, {}).count() == 0 and licenses.scan(docs, {"short": "two words"}).count() == 0
     assert [r["license"] for r in licenses.scan(docs, {"own": "mit license of our own making"}).collect()] == []
+
+
+def test_notices_of_fewer_than_five_words(spark):
+    far = " ".join(FILL)
+    rows = [(1, "All rights reserved."), (2, f"{far}. ALL RIGHTS\nRESERVED! {far}"), (3, "all rights are reserved"), (4, "rights reserved"), (5, "all rights"), (6, "reserved all"), (7, "rights reserved. All rights reserved. Released under the MIT License.")]
+    found = [(r["doc_id"], r["license"], r["containment"], r["word"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()]
+    notice = "all-rights-reserved-notice"
+    assert sorted(found) == [(1, notice, 1.0, 0), (2, notice, 1.0, 298), (7, notice, 1.0, 0), (7, "mit-notice", 1.0, 2)]
+    own = licenses.scan(spark.createDataFrame(rows, SCHEMA), {"two": "rights reserved", "one": "Are", "none": "..."})
+    assert sorted((r["doc_id"], r["license"]) for r in own.collect()) == [(1, "two"), (2, "two"), (3, "one"), (4, "two"), (7, "two")]
