@@ -211,3 +211,10 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents")).select("doc_id", "lang", F.round("posterior", 6).alias("posterior"), "declared", "kept")
+
+
+def pages_query(spark, sf_dir: str) -> DataFrame:
+    """The same for pages, with a page's key: here the markup declares, and hosts have suffixes."""
+    pages = cut(page_fields(read(spark, sf_dir, "pages")))  # tags are taken out once, not in each pass
+    found = identify(pages, id_col="page_id", declared_col="declared", host_col="host")
+    return found.select(F.col("doc_id").alias("page_id"), "lang", F.round("posterior", 6).alias("posterior"), "declared", "kept")

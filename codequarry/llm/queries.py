@@ -17,6 +17,9 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
 }
 
+#: Operators over a second table.
+MORE = {"op4_language_id_pages": langid.pages_query}
+
 
 def oracles() -> dict[str, str]:
     return {

@@ -118,3 +118,23 @@ def test_pages_declare_by_markup(spark):
     (r,) = langid.page_fields(spark.createDataFrame([(1, "https://www.a.example:8080/x", html)], "page_id long, url string, html string")).collect()
     assert (r["declared"], r["host"], r["text"].split()) == ("de-AT", "www.a.example", ["Grüße"])
     assert langid.page_fields(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).first()["text"] == ""
+
+
+def test_pages_are_judged_by_markup_and_suffix(spark, tmp_path):
+    import __spark_entry__
+
+    pick = random.Random(4)
+    page = lambda body, lang: f'<html lang="{lang}"><body><script>the and that with</script><p>{body}</p></body></html>'
+    rows = [(i, f"https://h{i}.{x}/a", page(text(x, pick), x)) for i, x in enumerate(["de", "fr"] * 150)]
+    model = langid.fit([text(x, pick) for x in ["de", "fr"] * 150], ["de", "fr"] * 150)
+    pairs = [f"{a} {b}" for a in STEMS["de"].split() for b in STEMS["fr"].split()]
+    ll = model.likelihoods(*langid.buffers(pa.array(pairs)))
+    even = pairs[int(np.argmin(np.abs(ll[:, 0] - ll[:, 1]) + (ll[:, 2] > ll[:, 0]) * 1e3))]
+    # hosts of their own: nothing but the suffix, or the markup, tells these apart
+    rows += [(500, "http://new1.de/", even), (501, "http://new2.fr/", even), (502, "http://203.0.113.7/", page(even, "de")), (503, "http://203.0.113.7/", page(even, "fr")), (None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = __spark_entry__.queries()["op4_language_id_pages"](spark, str(tmp_path))
+    assert out.columns == ["page_id", "lang", "posterior", "declared", "kept"]
+    got = {r["page_id"]: r for r in out.collect()}
+    assert len(got) == len(rows) and all(got[i]["lang"] == ["de", "fr"][i % 2] and got[i]["kept"] for i in range(300))
+    assert [got[i]["lang"] for i in (500, 501, 502, 503)] == ["de", "fr", "de", "fr"] and not got[None]["kept"]
