@@ -6,9 +6,10 @@ priors are smoothed towards the prior of the host's address suffix, and that tow
 the prior of the whole corpus; all three, and how often each language is declared as
 which, come from grouped sums of the text's own posteriors over all documents.
 
-Trigram models are fitted on at most FIT_ROWS documents a declared language, by hash
-of their ids, of FIT_BYTES at most, for the LANGUAGES most often declared; documents that
-the first fit assigns to another language than declared are left out of the second.
+Trigram models are fitted for every declared language, on at most FIT_ROWS documents each, by
+hash of their ids: first those of 100 to FIT_BYTES bytes, if they are too few windows of FIT_BYTES of longer ones, then
+shorter ones if those have less than ENOUGH bytes. Documents that the first fit assigns to another language than declared are left out of
+the second, unless that is all of a language.
 Counts, priors and decisions cover all documents and whole texts.
 """
 
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import BROADCAST_ROWS, buffers, cut, keys_side, read, steps
 from codequarry.ship import map_arrow
 
-FIT_ROWS, FIT_BYTES, LANGUAGES = 200, 8192, 32
+FIT_ROWS, FIT_BYTES = 200, 8192
+#: With so many bytes of longer texts a language needs no short ones, whose few trigrams the fit can hardly check.
+ENOUGH = 20_000
 #: Trigrams of a text count as this many independent ones at most.
 EVIDENCE = 40.0
 #: Pseudo-documents with which a level of the prior leans on the one above.
@@ -53,20 +56,22 @@ def _trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    """Log-probabilities of trigrams: a row a language, and a last one for text of none."""
+    """Log-probabilities of trigrams, for each language and then for text of none: buckets, their values, and the value of all others."""
 
     languages: list[str]
-    table: np.ndarray
+    rows: list[tuple[np.ndarray, np.ndarray, float]]
 
     def likelihoods(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tempered log-likelihoods of each row: its mean a trigram, times their number or EVIDENCE if that is less."""
         code, counts = _trigrams(data, ends)
-        n = np.concatenate([[0], np.cumsum(counts)])
-        n = n[ends[1:]] - n[ends[:-1]]
-        out = np.zeros((len(ends) - 1, len(self.table)))
-        for k, row in enumerate(self.table):
-            total = np.concatenate([[0.0], np.cumsum(np.where(counts, row[code], 0), dtype=np.float64)])
-            out[:, k] = total[ends[1:]] - total[ends[:-1]]
+        at = np.concatenate([[0], np.cumsum(counts)])[ends]
+        n, code = np.diff(at), code[counts]
+        out = np.zeros((len(ends) - 1, len(self.rows)))
+        table = np.empty(_BUCKETS, np.float32)
+        for k, (buckets, values, rest) in enumerate(self.rows):
+            table.fill(rest)
+            table[buckets] = values
+            out[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])[at])
         out *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
         out[n == 0, :-1] = -50.0  # nothing to read is no language
         return out
@@ -77,49 +82,73 @@ def posterior(ll: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
-def _fit_once(texts: list[str], langs: list[str], names: list[str]) -> Model:
-    count = np.zeros((len(names) + 1, _BUCKETS))
-    for k, name in enumerate(names):
-        data, ends = buffers(pa.array([t for t, x in zip(texts, langs) if x == name], pa.string()))
-        code, counts = _trigrams(data, ends)
-        count[k] = np.bincount(code[counts], minlength=_BUCKETS)
-    share = count[:-1] + 0.02
-    table = np.log(share / share.sum(axis=1, keepdims=True))
-    flat = np.full((1, _BUCKETS), -np.log(60.0**3 / 6))  # letters in any order
-    return Model(names, np.concatenate([table, flat]).astype(np.float32))
+def _fit_once(texts: list[str], langs: list[str]) -> Model:
+    by: dict[str, list[str]] = {}
+    for t, x in zip(texts, langs):
+        by.setdefault(x, []).append(t)
+    names, rows = [], []
+    for name in sorted(by):
+        code, counts = _trigrams(*buffers(pa.array(by[name], pa.string())))
+        if counts.any():
+            count = np.bincount(code[counts], minlength=_BUCKETS) + 0.02
+            values, buckets = np.log(count / count.sum()).astype(np.float32), np.flatnonzero(count > 1).astype(np.int32)
+            names.append(name)
+            rows.append((buckets, values[buckets], float(np.log(0.02 / count.sum()))))
+    none = np.zeros(0, np.int32), np.zeros(0, np.float32), float(-np.log(60.0**3 / 6))  # letters in any order
+    return Model(names, [*rows, none])
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    names = sorted(set(langs))
-    model = _fit_once(texts, langs, names)
-    if names:
+    """A model of all languages whose texts have trigrams."""
+    model = _fit_once(texts, langs)
+    if model.languages:
         best = np.argmax(np.concatenate([model.likelihoods(*buffers(pa.array(texts[i : i + 500], pa.string()))) for i in range(0, len(texts), 500)])[:, :-1], axis=1)
-        same = [names[b] == x for b, x in zip(best.tolist(), langs)]
-        if {x for x, ok in zip(langs, same) if ok} == set(names):
-            model = _fit_once([t for t, ok in zip(texts, same) if ok], [x for x, ok in zip(langs, same) if ok], names)
+        same = [model.languages[b] == x for b, x in zip(best.tolist(), langs)]
+        sure = {x for x, ok in zip(langs, same) if ok}
+        some = [(t, x) for t, x, ok in zip(texts, langs, same) if ok or x not in sure]
+        model = _fit_once([t for t, _ in some], [x for _, x in some])
     return model
 
 
 def learn(rows: DataFrame) -> Model:
     """A model from rows with __cq_id, __cq_text and __cq_declared.
 
-    One pass counts the texts that a language could learn from, one more brings the few of them whose hashes
-    lie below the bound that leaves about twice FIT_ROWS; a bound that leaves too few is raised.
+    One pass counts the texts of each language and tier of length, one more brings the few of each language's first tier whose
+    hashes lie below the bound that leaves about twice FIT_ROWS. A bound that leaves too few is raised, and a tier that has too few is
+    followed by the next.
     """
-    size, key = F.octet_length("__cq_text"), F.col("__cq_declared")
-    some = rows.where(key.isNotNull() & (size >= 100) & (size <= FIT_BYTES)).select("__cq_id", "__cq_declared", "__cq_text")
-    counts = some.groupBy(key).count().orderBy(F.desc("count"), "__cq_declared").limit(LANGUAGES).collect()
+    size, chars, key = F.octet_length("__cq_text"), F.char_length("__cq_text"), F.col("__cq_declared")
+    some = rows.where(key.isNotNull() & (size >= 3) & F.col("__cq_text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")).select("__cq_id", "__cq_declared", "__cq_text")
+    some = some.withColumn("tier", F.when(size > FIT_BYTES, 1).when(size >= 100, 0).otherwise(2))
+    counts: dict[str, dict[int, int]] = {}
+    for r in some.groupBy(key, "tier").count().collect():
+        counts.setdefault(r["__cq_declared"], {})[r["tier"]] = r["count"]
     some = some.withColumn("th", F.xxhash64("__cq_text")).withColumn("h", F.shiftrightunsigned(F.xxhash64("__cq_id", "th"), 1))
-    shares = {r["__cq_declared"]: min(1.0, 2 * FIT_ROWS / r["count"]) for r in counts}
-    found: dict[str, list[str]] = {}
+    most = F.floor(FIT_BYTES * chars / size).cast("int")
+    window = F.when(size <= FIT_BYTES, F.col("__cq_text")).otherwise(F.substring("__cq_text", (1 + F.pmod("h", chars - most + 1)).cast("int"), most))
+    found: dict[str, list[str]] = {name: [] for name in sorted(counts)}
+
+    def first_share(name):
+        tier = min(counts[name])
+        return tier, min(1.0, 2 * (FIT_ROWS - len(found[name])) / counts[name].pop(tier))
+
+    shares = {name: first_share(name) for name in found}
     while shares:
-        bounds = F.create_map(*[F.lit(x) for name, share in shares.items() for x in (name, min(int(share * 2.0**63), 2**63 - 1))])
-        below = some.where(F.col("h") <= F.try_element_at(bounds, key)).groupBy("__cq_declared", "h", "__cq_id", "th").agg(F.min("__cq_text").alias("text"))
+        bounds = rows.sparkSession.createDataFrame([(name, tier, min(int(share * 2.0**63), 2**63 - 1)) for name, (tier, share) in shares.items()], "__cq_declared string, tier int, bound long")
+        below = some.join(F.broadcast(bounds), ["__cq_declared", "tier"]).where("h <= bound").groupBy("__cq_declared", "h", "__cq_id", "th").agg(F.min(window).alias("text"))
         got: dict[str, list] = {}
         for r in below.collect():
             got.setdefault(r["__cq_declared"], []).append(((r["h"], r["__cq_id"] is None, r["__cq_id"] or 0, r["th"]), r["text"]))
-        found |= {name: [t for _, t in sorted(got.get(name, []))[:FIT_ROWS]] for name in shares}
-        shares = {name: min(1.0, 8 * share) for name, share in shares.items() if share < 1 and len(found[name]) < FIT_ROWS}
+        again = {}
+        for name, (tier, share) in shares.items():
+            texts = [t for _, t in sorted(got.get(name, []))][: FIT_ROWS - len(found[name])]
+            if share < 1 and len(found[name]) + len(texts) < FIT_ROWS:
+                again[name] = tier, min(1.0, 8 * share)
+                continue
+            found[name] += texts
+            if len(found[name]) < FIT_ROWS and counts[name] and (min(counts[name]) < 2 or sum(len(t.encode()) for t in found[name]) < ENOUGH):
+                again[name] = first_share(name)
+        shares = again
     return fit([t for texts in found.values() for t in texts], [name for name, texts in found.items() for _ in texts])
 
 
@@ -152,7 +181,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, text_hash, lang, posterior, declared and kept, for each row.
 
     lang is "und" where no letters or no language fits; such rows are not kept, nor are those whose best language has less than
-    half of the posterior. A null or absent declaration or host is no evidence: the former weighs nothing, the
+    half of the posterior, but for rows that declare a language without a model (none of its texts has letters). A null or absent declaration or host is no evidence: the former weighs nothing, the
     latter has the prior of hosts without a suffix. Null and empty texts have no letters. Without any
     declared language there is nothing to learn from: all rows are "und" and kept. Repeated rows each give a
     row. An empty table gives none.
@@ -190,7 +219,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.col("__cq_id").alias("doc_id"), F.col("__cq_th").alias("text_hash"),
         F.element_at(F.array(*[F.lit(x) for x in [*names, UNKNOWN]]), F.col("best").cast("int")).alias("lang"),
         F.array_max("p").alias("posterior"), F.col("__cq_declared").alias("declared"),
-        ((F.array_max("p") >= 0.5) & (F.col("best") < n)).alias("kept"),
+        (((F.array_max("p") >= 0.5) & (F.col("best") < n)) | F.coalesce(~F.col("__cq_declared").isin(names), F.lit(False))).alias("kept"),
     )
 
 

@@ -138,3 +138,18 @@ def test_pages_are_judged_by_markup_and_suffix(spark, tmp_path):
     got = {r["page_id"]: r for r in out.collect()}
     assert len(got) == len(rows) and all(got[i]["lang"] == ["de", "fr"][i % 2] and got[i]["kept"] for i in range(300))
     assert [got[i]["lang"] for i in (500, 501, 502, 503)] == ["de", "fr", "de", "fr"] and not got[None]["kept"]
+
+
+def test_every_declared_language_is_learned(spark):
+    pick = random.Random(8)
+    names = [f"q{chr(97 + i // 7)}{chr(97 + i % 7)}" for i in range(40)]
+    stems = {x: ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(pick.randint(3, 7))) for _ in range(25)] for x in names}
+    say = lambda x, n: " ".join(pick.choice(stems[x]) for _ in range(n))
+    # the 33rd and later are declared less often; one language has short texts only, one has books only, one no letters
+    rows = [(x, say(x, 60)) for k, x in enumerate(names) for _ in range(8 if k < 32 else 4)]
+    stems |= {x: ["".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(25)] for x in ("sho", "boo")}
+    rows += [("sho", say("sho", 9)) for _ in range(60)] + [("boo", say("boo", 3000)) for _ in range(3)] + [("dig", "12 345 - 6789 " * 20)] * 2
+    docs = [(i, t, x, None) for i, (x, t) in enumerate(rows)]
+    got = langid.identify(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(docs) and all(r["kept"] for r in got)
+    assert [(r["declared"], r["lang"]) for r in got if r["lang"] != ("und" if r["declared"] == "dig" else r["declared"])] == []
