@@ -11,6 +11,9 @@ explicit sequences, the machine's value of a string is a sum of one number a seq
 scoring a text is a table look-up at each place, for each way to spread ORDER signs, and
 a running sum over WINDOW places. A document scores its largest window.
 
+Letters with marks are read as the plain ones. Letters of other scripts share the 26 signs, by their code points, so that
+neighbors in an alphabet differ; words are what spaces and other signs divide.
+
 Learning takes at most FIT_ROWS documents a label, by hash of their ids, of at most FIT_BYTES
 each. Scoring takes all of every text.
 """
@@ -18,6 +21,7 @@ each. Scoring takes all of every text.
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +54,41 @@ for _k, _c in enumerate("aaaaaaaceeeeiiiidnooooo ouuuuy saaaaaaaceeeeiiiidnooooo
     _LATIN[0x80 + _k] = 0 if _c == " " else ord(_c) - 96
 
 
+def _other_letters() -> np.ndarray:
+    """A sign for each code point beyond Latin-1: 0 for no letter, and _MARK for marks, which are left out."""
+    out = np.zeros(0x110000, np.uint8)
+    for lo, hi in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x32000)):  # ideographs and Hangul, all of them letters
+        out[lo:hi] = 1 + np.arange(lo, hi) % 26
+    for lo, hi in ((0x100, 0x3400), (0xA000, 0xAC00), (0xF900, 0xFE00), (0xFE20, 0x20000)):
+        for c in range(lo, hi):
+            kind = unicodedata.category(chr(c))[0]
+            if kind == "M":
+                out[c] = _MARK
+            elif kind == "L":
+                plain = ord(unicodedata.normalize("NFKD", chr(c).lower())[0])
+                out[c] = _CODES[plain] if plain < 128 else 1 + plain % 26
+    return out
+
+
+_MARK = 255
+_OTHER = _other_letters()
+
+
+def _read_others(data: np.ndarray, code: np.ndarray, keep: np.ndarray) -> None:
+    """Put the signs of letters beyond Latin-1 at their last bytes, and leave their other bytes out."""
+    for size, low, high, bits in ((2, 0xC4, 0xE0, 31), (3, 0xE0, 0xF0, 15), (4, 0xF0, 0xF5, 7)):
+        lead = np.flatnonzero((data >= low) & (data < high))
+        point = data[lead].astype(np.int64) & bits
+        for k in range(1, size):
+            point = point << 6 | (data[lead + k] & 63)
+        sign = _OTHER[point]
+        lead, sign = lead[sign > 0], sign[sign > 0]
+        for k in range(size - 1):
+            keep[lead + k] = False
+        keep[lead[sign == _MARK] + size - 1] = False
+        code[lead + size - 1] = np.where(sign == _MARK, 0, sign)
+
+
 def signs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signs 0 (no letter) to 26 of each row between pads, and the rows' offsets.
 
@@ -60,6 +99,7 @@ def signs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code[lead + 1] = _LATIN[data[lead + 1]]
     keep = np.ones(len(data), bool)
     keep[lead] = False
+    _read_others(data, code, keep)
     n, rows = len(data), len(ends) - 1
     if n:
         letter = np.zeros(n + 4, bool)

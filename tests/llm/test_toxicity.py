@@ -121,3 +121,19 @@ def test_held_out_accuracy_on_the_given_tables(spark):
     # stems of insults occur by chance in clean texts of this table, so it is harder than most
     assert len(bad) > 20 and auc >= 0.9
     assert sum(y == p for y, _, p in got) >= 0.95 * len(got)
+
+
+def test_letters_of_other_scripts_are_read():
+    read = lambda t: tox.signs(*tox.buffers(pa.array([t])))[0].tolist()
+    assert read("żółć čeština İğdır") == read("zółć cestina igdır") and read("e\u0301te\u0301 …") == read("été …")
+    assert read("СТОП … мир") == read("стоп … мир") and 0 not in read("стоп")[len(tox._PAD) : -len(tox._PAD)]
+
+
+def test_insults_in_another_script_are_learned():
+    other = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+    rows = [(t.translate(other), y) for _, t, y in corpus()]
+    m = tox.fit([t for t, y in rows if y], [t for t, y in rows if not y])
+    held = [(t.translate(other), y) for _, t, y in corpus(200, 9)]
+    p = m.probability(m.windows(*tox.buffers(pa.array([t for t, _ in held])))) >= 0.5
+    y = np.array([y for _, y in held], bool)
+    assert p[y].mean() >= 0.9 and p[~y].mean() <= 0.05
