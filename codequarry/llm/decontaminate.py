@@ -7,8 +7,9 @@ suffix of an item that is found at 13 words is a contaminating window, and
 neighbouring windows of one item join into the longest verbatim match. A match
 never runs across documents, so no shard needs to see another.
 
-The benchmark is held in blocks of a checked size, one broadcast each, and a further
-block is a further pass over the same rows within the same stage. Texts never move.
+The benchmark is brought and broadcast one block of a checked size at a time. After each block but the last the rows with
+what was found are written to the shared folder and the block is freed, so no worker
+and no driver holds more than one. Texts are never shuffled.
 Words are compared as 64-bit hashes: a window of 13 words can be wrong only if words
 collide at one place of it and all others are equal.
 """
@@ -16,19 +17,21 @@ collide at one place of it and all others are equal.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import ALNUM, LOWER_TABLE, buffers, read, steps, word_hashes, word_spans
+from codequarry.llm.common import ALNUM, LOWER_TABLE, buffers, cut, read, steps, word_hashes, word_spans
 from codequarry.ship import map_arrow
 
 WINDOW = 13
 #: Bytes of benchmark text held at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _ORDERS = (1, 2, 4, 8)
 
 
@@ -50,6 +53,8 @@ class Tests:
     starts: np.ndarray
     lengths: np.ndarray
     names: list[str]
+    #: Each item's first word.
+    first: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> Tests:
@@ -59,7 +64,7 @@ class Tests:
         left = np.repeat(offsets[1:], size) - np.arange(len(words))
         whole = np.minimum(size, window)[item]  # length of the item's windows
         starts = np.flatnonzero(left >= whole)
-        return cls(words, left, item[starts], starts, whole[starts], ["null" if i is None else str(i) for i, _ in rows])
+        return cls(words, left, item[starts], starts, whole[starts], ["null" if i is None else str(i) for i, _ in rows], offsets[:-1])
 
 
 def _ranked(key: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,49 +176,76 @@ def _merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[new, 0], np.maximum.reduceat(ranges[:, 1], new)], axis=1)
 
 
-def _blocks(bench: DataFrame, id_col: str, text_col: str) -> list[Tests]:
-    """Items of at most about BLOCK_BYTES of text each block."""
+def _blocks(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Tests]:
+    """Items of at most about BLOCK_BYTES of text each block; one block at a time is brought to the driver. At least one block."""
     rows = bench.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("t") + 8)).first()[0] or 0
     n = max(1, math.ceil(1.2 * total / BLOCK_BYTES))
-    if n == 1:
-        return [Tests.of([(r["i"], r["t"]) for r in rows.collect()])] if total else []
-    cut_by = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [Tests.of([(r["i"], r["t"]) for r in rows.where(cut_by == b).collect()]) for b in range(n)]
+    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
+    for b in range(n):
+        yield Tests.of([(r["i"], r["t"]) for r in (rows if n == 1 else rows.where(part == b)).collect()])
+
+
+def _passes(docs: DataFrame, blocks: Iterator[Tests], run) -> DataFrame:
+    """docs after run(batches, tests) for each block; written out and the block freed before the next is brought."""
+    shared = None
+    for tests in blocks:
+        if shared is not None:
+            docs = cut(docs)
+            shared.destroy()
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
+        docs = map_arrow(docs, lambda batches, shared=shared: run(batches, shared.value), docs.schema)
+    return docs
+
+
+def longest(at: np.ndarray, which: np.ndarray, tests: Tests, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Document, item, place in the document, place in the item and words of each longest match: windows joined along one diagonal."""
+    doc, item = np.searchsorted(offsets, at, "right") - 1, tests.item[which]
+    place, inner, words = at - offsets[doc], tests.starts[which] - tests.first[item], tests.lengths[which]
+    order = np.lexsort((place, place - inner, item, doc))
+    doc, item, place, inner, words = doc[order], item[order], place[order], inner[order], words[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(place - inner) != 0) | (np.diff(place) != 1)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(doc)) - 1
+    return doc[begin], item[begin], place[begin], inner[begin], (place[end] + words[end] - place[begin] if len(begin) else place)
+
+
+_FOUND = {"__cq_words": "long", "__cq_ranges": "array<long>", "__cq_items": "array<string>", "__cq_most": "long", "__cq_at": "long", "__cq_item": "string", "__cq_item_at": "long"}
 
 
 def with_hits(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of docs with __cq_words (number of words), __cq_ranges (hit words as begin, end, begin, end, ...) and __cq_items (ids as strings)."""
-    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).cast("long").alias("__cq_words"), F.array().cast("array<long>").alias("__cq_ranges"), F.array().cast("array<string>").alias("__cq_items"))
-    blocks = _blocks(bench, item_col, item_text)
-    for tests in blocks or [Tests.of([])]:
-        shared = docs.sparkSession.sparkContext.broadcast(tests)
+    """All columns of docs with what was found in text_col.
 
-        def run(batches, shared=shared):
-            tests = shared.value
-            for batch in batches:
-                for part in steps(batch, text_col):
-                    words, offsets = hashed_words(part.column(text_col).cast(pa.string()))
-                    size = np.diff(offsets)
-                    ranges = part.column("__cq_ranges").to_pylist()
-                    items = part.column("__cq_items").to_pylist()
-                    at, which = find(words, offsets, tests)
-                    if len(at):
-                        doc = np.searchsorted(offsets, at, "right") - 1
-                        order = np.argsort(doc, kind="stable")
-                        at, which, doc = at[order], which[order], doc[order]
-                        cuts = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc))
-                        for i, j in zip(cuts, cuts[1:]):
-                            d = int(doc[i])
-                            new = np.stack([at[i:j] - offsets[d], at[i:j] - offsets[d] + tests.lengths[which[i:j]]], axis=1)
-                            old = np.array(ranges[d], np.int64).reshape(-1, 2)
-                            ranges[d] = _merged(np.concatenate([old, new])).ravel().tolist()
-                            items[d] = sorted({*items[d], *(tests.names[k] for k in np.unique(tests.item[which[i:j]]))})
-                    made = {"__cq_words": pa.array(size, pa.int64()), "__cq_ranges": pa.array(ranges, pa.list_(pa.int64())), "__cq_items": pa.array(items, pa.list_(pa.string()))}
-                    yield pa.RecordBatch.from_arrays([made.get(c, part.column(c)) for c in part.schema.names], part.schema.names)
-
-        out = map_arrow(out, run, out.schema)
-    return out
+    __cq_words: number of words; __cq_ranges: hit words as begin, end, begin, end, ...; __cq_items: ids as strings; __cq_most, __cq_at,
+    __cq_item and __cq_item_at: words of the longest match, where it begins in the document, its item and where it begins
+    there. Of equally long ones the first in the document counts, then the least item as string, then the first
+    in the item. Without a hit __cq_most is 0 and the other three are null.
+    """
+    empty = {"__cq_words": F.lit(0), "__cq_ranges": F.array(), "__cq_items": F.array(), "__cq_most": F.lit(0)}
+    out = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[empty.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in _FOUND.items()])
+
+    def run(batches, tests):
+        for batch in batches:
+            for part in steps(batch, text_col):
+                words, offsets = hashed_words(part.column(text_col).cast(pa.string()))
+                made = {c: part.column(c).to_pylist() for c in _FOUND}
+                made["__cq_words"] = np.diff(offsets)
+                doc, item, place, inner, many = longest(*find(words, offsets, tests), tests, offsets)
+                cuts = np.append(np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])), len(doc)) if len(doc) else []
+                for i, j in zip(cuts, cuts[1:]):
+                    d = int(doc[i])
+                    new = np.stack([place[i:j], place[i:j] + many[i:j]], axis=1)
+                    old = np.array(made["__cq_ranges"][d], np.int64).reshape(-1, 2)
+                    made["__cq_ranges"][d] = _merged(np.concatenate([old, new])).ravel().tolist()
+                    made["__cq_items"][d] = sorted({*made["__cq_items"][d], *(tests.names[k] for k in np.unique(item[i:j]))})
+                    top = i + np.flatnonzero(many[i:j] == many[i:j].max())
+                    best = min((-int(many[k]), int(place[k]), tests.names[item[k]], int(inner[k])) for k in top)
+                    if not made["__cq_most"][d] or best < (-made["__cq_most"][d], made["__cq_at"][d], made["__cq_item"][d], made["__cq_item_at"][d]):
+                        made["__cq_most"][d], made["__cq_at"][d], made["__cq_item"][d], made["__cq_item_at"][d] = -best[0], *best[1:]
+                yield pa.RecordBatch.from_arrays([pa.array(made[c], part.schema.field(c).type) if c in made else part.column(c) for c in part.schema.names], part.schema.names)
+
+    return _passes(out, _blocks(bench, item_col, item_text), run)
 
 
 def _hit():
@@ -226,49 +258,39 @@ def _contaminated(hit, words):
 
 
 def matches(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The longest verbatim matches: doc_id, item_id, doc_word, item_word, words. Places count from 0.
+    """All longest verbatim matches: doc_id, item_id, doc_word, item_word, words. Places count from 0.
 
-    Matches of an item are joined windows on one diagonal, so a match of any length is one row.
+    Matches of an item are joined windows on one diagonal, so a match of any length is one row. Each block of the benchmark
+    is one pass over docs.
     """
-    out = None
+    parts, shared = [], None
     for tests in _blocks(bench, item_col, item_text):
+        if shared is not None:
+            parts[-1] = cut(parts[-1])
+            shared.destroy()
         shared = docs.sparkSession.sparkContext.broadcast(tests)
 
         def run(batches, shared=shared):
             tests = shared.value
-            begins = {int(k): int(v) for k, v in zip(tests.item[::-1], tests.starts[::-1])}
             for batch in batches:
                 for part in steps(batch, "__cq_text"):
                     words, offsets = hashed_words(part.column("__cq_text"))
-                    at, which = find(words, offsets, tests)
-                    doc = np.searchsorted(offsets, at, "right") - 1
-                    item = tests.item[which]
-                    first = np.array([begins[int(k)] for k in item], np.int64)
-                    place, inner = at - offsets[doc], tests.starts[which] - first
-                    order = np.lexsort((place, place - inner, item, doc))
-                    doc, item, place, inner, length = doc[order], item[order], place[order], inner[order], tests.lengths[which][order]
-                    ids = part.column("doc_id").to_pylist()
-                    rows = []
-                    for d, k, p, q, w in zip(doc.tolist(), item.tolist(), place.tolist(), inner.tolist(), length.tolist()):
-                        if rows and rows[-1][:2] == [d, k] and rows[-1][2] - rows[-1][3] == p - q and p == rows[-1][5] + 1:
-                            rows[-1][4:] = [p + w - rows[-1][2], p]
-                        else:
-                            rows.append([d, k, p, q, w, p])
+                    doc, item, place, inner, many = longest(*find(words, offsets, tests), tests, offsets)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([tests.names[r[1]] for r in rows], pa.string()), *[pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]],
+                        [part.column("doc_id").take(pa.array(doc)), pa.array([tests.names[k] for k in item], pa.string()), *(pa.array(x, pa.int64()) for x in (place, inner, many))],
                         ["doc_id", "item_id", "doc_word", "item_word", "words"],
                     )
 
         narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("__cq_text"))
-        part = map_arrow(narrow, run, "doc_id long, item_id string, doc_word long, item_word long, words long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id string, doc_word long, item_word long, words long")
+        parts.append(map_arrow(narrow, run, "doc_id long, item_id string, doc_word long, item_word long, words long"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (ids as sorted strings) and contaminated, for each row of docs.
+    """doc_id, n_words, n_hit, n_items, items (ids as sorted strings), contaminated, and the longest match, for each row of docs.
 
-    Null and empty texts have no words and are never contaminated. Items without words match
+    The longest match is longest_words (0: none), longest_at (its first word in the text, from 0), longest_item and
+    longest_item_at. Null and empty texts have no words and are never contaminated. Items without words match
     nothing; items of fewer words than a window are one window. Items with an equal id are one
     item, an id of null reads "null". Repeated rows each give a row. An empty benchmark hits
     nothing; empty docs give no rows.
@@ -276,18 +298,29 @@ def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id",
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("__cq_text"))
     found = with_hits(narrow, bench, text_col="__cq_text").withColumn("n_hit", _hit())
     return found.select("doc_id", F.col("__cq_words").alias("n_words"), "n_hit", F.size("__cq_items").cast("long").alias("n_items"),
-                        F.array_sort("__cq_items").alias("items"), _contaminated(F.col("n_hit"), F.col("__cq_words")).alias("contaminated"))
+                        F.array_sort("__cq_items").alias("items"), _contaminated(F.col("n_hit"), F.col("__cq_words")).alias("contaminated"),
+                        F.col("__cq_most").alias("longest_words"), F.col("__cq_at").alias("longest_at"), F.col("__cq_item").alias("longest_item"),
+                        F.col("__cq_item_at").alias("longest_item_at"))
+
+
+def unaffected(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of docs, as they are, without a verbatim match of WINDOW words, however long the text around it.
+
+    A match with an item that is shorter than a window counts where the text is contaminated: such an item, a single word say, is found in
+    clean texts too.
+    """
+    found = with_hits(docs, bench, text_col=text_col, item_col=item_col, item_text=item_text)
+    return found.where(~((F.col("__cq_most") >= WINDOW) | _contaminated(_hit(), F.col("__cq_words")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, as they are."""
-    found = with_hits(docs, read(spark, sf_dir, "benchmark"))
-    return found.where(~_contaminated(_hit(), F.col("__cq_words"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that hold no passage of the benchmark, as they are."""
+    return unaffected(docs, read(spark, sf_dir, "benchmark"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    return found.withColumn("items", F.sha2(F.array_join("items", ","), 256)).withColumnRenamed("items", "items_sha256")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -65,6 +65,54 @@ def test_longest_matches_and_their_places(spark):
     assert sorted(map(tuple, got.collect())) == [(1, "8", 2, 5, 35), (2, "8", 0, 0, 50), (2, "8", 51, 0, 50)]
 
 
+def longest_match(text, bench, size=13):
+    """Words, place, item and place in the item of the longest match, by trying all pairs of places."""
+    words = lambda t: brute.ALNUM_WORD.findall((t or "").translate(brute.LOWER))
+    w, best = words(text), (0, 0, "", 0)
+    for item, t in bench:
+        v = words(t)
+        for p in range(len(w)):
+            for q in range(len(v)):
+                n = 0
+                while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                    n += 1
+                if n and n >= min(size, len(v)):
+                    best = min(best, (-n, p, str(item), q))
+    return (-best[0], *best[1:]) if best[0] else (0, None, None, None)
+
+
+def test_the_query_gives_the_longest_match(spark, tmp_path, monkeypatch):
+    docs, bench = fixture(3)
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {i: longest_match(t, bench) for i, t in docs if i < 40}
+    assert any(x[0] > 13 for x in want.values()) and any(x[0] == 0 for x in want.values())
+    for block in (decontaminate.BLOCK_BYTES, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = {r["doc_id"]: tuple(r)[-4:] for r in decontaminate.query(spark, str(tmp_path)).collect() if r["doc_id"] < 40}
+        assert got == want
+
+
+def test_the_stage_drops_short_passages_in_long_texts_and_keeps_clean_ones(spark, tmp_path):
+    item, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "uv")
+    filler = " ".join(f"w{i % 97}" for i in range(5000))
+    docs = [
+        (1, filler + " " + item + " " + filler), (2, filler), (3, " ".join(item.split()[:12]) + " " + filler), (4, " ".join(item.split()[4:17]).upper()),
+        (5, "A line of its own here.\n" + other), (6, "Another line of its own.\n" + other), (7, "yes " + filler), (8, "yes"), (9, None), (10, ""),
+    ]
+    spark.createDataFrame([(1, item), (2, other), (3, "yes")], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = decontaminate.stage(spark, spark.createDataFrame(docs, DOCS), str(tmp_path))
+    assert sorted(r["doc_id"] for r in out.collect()) == [2, 3, 7, 9, 10]
+
+
+def test_a_text_of_more_than_one_step(spark):
+    item = " ".join(f"k{i}" for i in range(30))
+    docs = [(1, "some words and " * 150_000 + item + " more" * 700_000), (2, item), (3, "some words")]
+    assert len(docs[0][1]) > 5 << 20
+    got = {r["doc_id"]: tuple(r) for r in decontaminate.contamination(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(8, item)], ITEMS)).collect()}
+    assert got[1] == (1, 450_000 + 30 + 700_000, 30, 1, ["8"], False, 30, 450_000, "8", 0) and got[2][5] and not got[3][2]
+
+
 def test_nulls_repeats_empty_tables_and_other_columns(spark, tmp_path):
     item = " ".join(f"z{i}" for i in range(15))
     docs = spark.createDataFrame([(None, item, "a"), (2, item, None), (2, item, "a"), (3, None, "b")], DOCS + ", items string")
