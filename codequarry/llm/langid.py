@@ -34,7 +34,9 @@ EVIDENCE = 40.0
 KAPPA = 20.0
 UNKNOWN = "und"
 _BUCKETS = 131_071
-_SIGN = np.zeros(256, np.int64)
+#: Bytes of text that one step reads, and trigrams that it looks up at once: both bound a worker's memory.
+STEP, _AT_ONCE = 1 << 19, 1 << 17
+_SIGN = np.zeros(256, np.int32)
 _SIGN[97:123] = _SIGN[65:91] = np.arange(1, 27)
 _SIGN[128:] = 27 + (np.arange(128) & 63)
 
@@ -44,14 +46,17 @@ def _trigrams(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     s = _SIGN[data]
     n = len(s)
     if n < 3:
-        return np.zeros(n, np.int64), np.zeros(n, bool)
-    code = np.zeros(n, np.int64)
-    code[:-2] = s[:-2] * 8281 + s[1:-1] * 91 + s[2:]
+        return np.zeros(n, np.int32), np.zeros(n, bool)
+    code = np.zeros(n, np.int32)
+    np.multiply(s[:-2], 8281, out=code[:-2])
+    code[:-2] += s[1:-1] * 91
+    code[:-2] += s[2:]
     counts = code > 0
     for k in (1, 2):
         last = ends[1:] - k
         counts[last[last >= 0]] = False
-    return code % _BUCKETS, counts
+    np.remainder(code, _BUCKETS, out=code)
+    return code, counts
 
 
 @dataclass
@@ -63,15 +68,26 @@ class Model:
 
     def likelihoods(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tempered log-likelihoods of each row: its mean a trigram, times their number or EVIDENCE if that is less."""
-        code, counts = _trigrams(data, ends)
-        at = np.concatenate([[0], np.cumsum(counts)])[ends]
-        n, code = np.diff(at), code[counts]
-        out = np.zeros((len(ends) - 1, len(self.rows)))
+        n, out = np.zeros(len(ends) - 1, np.int64), np.zeros((len(ends) - 1, len(self.rows)))
         table = np.empty(_BUCKETS, np.float32)
-        for k, (buckets, values, rest) in enumerate(self.rows):
-            table.fill(rest)
-            table[buckets] = values
-            out[:, k] = np.diff(np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])[at])
+        for lo in range(0, len(data), STEP):  # a long text takes several steps, which share two bytes
+            hi = min(len(data), lo + STEP + 2)
+            r, q = np.searchsorted(ends, lo, "right") - 1, np.searchsorted(ends, hi, "left")
+            own = np.clip(ends[r : q + 1] - lo, 0, hi - lo)
+            code, counts = _trigrams(data[lo:hi], own)
+            if hi < len(data):
+                counts[-2:] = False  # the next step's
+            at = np.searchsorted(np.flatnonzero(counts), own)
+            code = code[counts]
+            n[r:q] += np.diff(at)
+            for k, (buckets, values, rest) in enumerate(self.rows):
+                table.fill(rest)
+                table[buckets] = values
+                for i in range(0, len(code), _AT_ONCE):
+                    some = table[code[i : i + _AT_ONCE]]
+                    total = np.zeros(len(some) + 1)
+                    np.cumsum(some, out=total[1:])
+                    out[r:q, k] += np.diff(total[np.clip(at - i, 0, len(some))])
         out *= (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
         out[n == 0, :-1] = -50.0  # nothing to read is no language
         return out
@@ -163,7 +179,7 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in steps(batch, "__cq_text"):
+            for part in steps(batch, "__cq_text", STEP):
                 ll = shared.value.likelihoods(*buffers(part.column("__cq_text")))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.ravel()))
                 names = ["__cq_id", "__cq_th", "__cq_declared", "__cq_host"]
