@@ -5,7 +5,8 @@ differ in at most 4 bits, then from some segment on every chain of the next
 1, 2, ... segments differs in at most 4/5 of a bit a segment, rounded down: 0, 1, 2,
 3, 4. The first two segments of such a chain make a key: the first must be equal and
 the second may differ in one bit. A fingerprint is stored under its five keys and
-under the keys one bit away; keys that only neighbours use are passed over, and
+under those with one set bit of the second segment cleared: of two keys that differ in one bit, the one
+without it is where both meet. Keys that only neighbours use are passed over, and
 for pairs within a key the longer chains are tested before the full distance.
 
 Only distinct fingerprints are compared. Within a key, a search outward from one
@@ -106,24 +107,25 @@ def _own_keys() -> list:
 
 
 def _beside(key, width: int = 13) -> list:
-    """A key and those one bit away in the second segment."""
-    return [key, *(key.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(width))]
+    """A key, and for each bit of the second segment the key without it, or null if it isn't set."""
+    bits = [F.lit(1 << b).cast("long") for b in range(width)]
+    return [key, *(F.when(key.bitwiseAND(b) != 0, key.bitwiseXOR(b)) for b in bits)]
 
 
 def _ring_rows(classes: DataFrame) -> DataFrame:
-    """key, fp: each fingerprint under its own five keys and those one bit away in the second segment."""
+    """key, fp: each fingerprint under its own five keys and those with a bit less in the second segment."""
     keys = [k for i, own in enumerate(_own_keys()) for k in _beside(own, WIDTHS[(i + 1) % 5])]
-    return classes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return classes.select("fp", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
 
 
 def _large_keys(classes: DataFrame) -> DataFrame:
     """key, n: all keys that may have more than BLOCK rows, and no less than what they have.
 
-    A key's rows are those that own it or one of the 13 beside it, so one of the 14 is owned by more than a
+    A key's rows are those that own it or one of the 13 with a bit more, so one of the 14 is owned by more than a
     fourteenth of BLOCK. Only owned keys are counted, five for a fingerprint.
     """
     owned = classes.select(F.explode(F.array(*_own_keys())).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // 14)
-    return owned.select(F.explode(F.array(*_beside(F.col("key")))).alias("key"), "n").groupBy("key").agg((F.sum("n") + BLOCK).alias("n"))
+    return owned.select(F.explode(F.array(*_beside(F.col("key")))).alias("key"), "n").where("key IS NOT NULL").groupBy("key").agg((F.sum("n") + BLOCK).alias("n"))
 
 
 def _own_key(fp: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -238,8 +240,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(classes))
     labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = labelled.join(least, "root").select("fp", "component_id")
+    # both cut, so that a large component and a fingerprint of very many copies can be split between tasks
+    least = cut(labelled.groupBy("root").agg(F.min("first").alias("component_id")))
+    ids = cut(labelled.join(least, "root").select("fp", "component_id"))
     return prints.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
