@@ -28,8 +28,8 @@ from codequarry.llm.common import read, steps
 from codequarry.ship import map_arrow
 
 SPACE = "▁"
-#: Chunks whose encodings a worker keeps. It bounds memory and changes no result.
-KEPT = 250_000
+#: Chunks whose encodings a worker keeps, and characters of those and their encodings. They bound memory and change no result.
+KEPT, KEPT_CHARS = 250_000, 32_000_000
 _NONE = float("-inf")
 
 
@@ -117,6 +117,7 @@ class PrefixTable:
         self._m_story: dict[int, list[tuple[float, str, str]]] = {}
         self._m_text: dict[str, str] = {}
         self._m_back: dict[str, str] = {}
+        self._m_chars = 0
         self._m_find = re.compile(self.pattern).findall
 
     def _step(self, state: int, c: str) -> int:
@@ -239,9 +240,10 @@ class PrefixTable:
     def learn(self, texts: list[str]) -> list[list[str]]:
         """Chunks of each text, all of whose encodings are then in the memo."""
         self._ready()
-        if len(self._m_text) > KEPT:
+        if len(self._m_text) > KEPT or self._m_chars > KEPT_CHARS:
             self._m_text.clear()
             self._m_back.clear()
+            self._m_chars = 0
         if len(self._m_pair) > 4 * KEPT:
             self._m_pair.clear()
         find = self._m_find
@@ -252,6 +254,7 @@ class PrefixTable:
             known[c] = ",".join(map(str, ids))
             back = self.pieces_of(ids)
             self._m_back[c] = c if back == c else back
+            self._m_chars += len(c) + len(known[c]) + (0 if back == c else len(back))
         return rows
 
     def both(self, texts: list[str]) -> list[tuple[str, str]]:
