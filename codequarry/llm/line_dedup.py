@@ -36,7 +36,7 @@ def drop_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("__cq_th", F.xxhash64("__cq_text"))
     lines = rows.select("__cq_id", "__cq_th", F.posexplode(F.split("__cq_text", "\n", -1)).alias("__cq_pos", "__cq_line"))
     key = lower_ascii(F.btrim(F.col("__cq_line"), F.lit(WHITESPACE)))
-    hashed = (
+    hashed = cut(  # lines are exploded and hashed once, and read twice
         lines.withColumn("__cq_key", key)
         .where(F.char_length("__cq_key") >= min_chars)
         .select("__cq_id", "__cq_th", "__cq_pos", F.xxhash64("__cq_key").alias("__cq_h1"), F.xxhash64(F.lit(7), "__cq_key").alias("__cq_h2"))
