@@ -69,7 +69,8 @@ class SlotMap:
         return replace(self, version=self.version + 1, owner=tuple(owner))
 
     def shard_of(self, slot: Column) -> Column:
-        return F.get(F.array(*[F.lit(k) for k in self.owner]), slot)
+        """The shard of a column of slots: one literal that folds into an array."""
+        return F.get(F.split(F.lit(",".join(map(str, self.owner))), ",").cast("array<int>"), slot)
 
     def moved(self, later: SlotMap) -> dict[int, tuple[int, int]]:
         return {s: (a, b) for s, (a, b) in enumerate(zip(self.owner, later.owner, strict=True)) if a != b}
