@@ -58,4 +58,21 @@ def test_huge_and_equal_scores(spark):
     rows = [(0, [1e15, 1e15]), *((i, [1e15, 1e15]) for i in range(9, 0, -1)), (50, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score").collect()))
-    assert got == [(0, r, r, topk.LIMIT) for r in range(1, 6)] + [(50, r, r - 1, 0) for r in range(1, 6)]
+    assert got == [(0, r, r, topk.MOST) for r in range(1, 6)] + [(50, r, r - 1, 0) for r in range(1, 6)]
+
+
+def test_scores_up_to_the_ends_of_a_long_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BINS", 64)
+    big = 2.0**23
+    # scores of query 0 lie close below and above 2**61 and 2**62, or are negative
+    rows = [(0, [big, 1.0, -big]), *((i, [2.0**f, i / 256, 0.0]) for i, f in enumerate((22, 23, 22, 22, 21, 23), 1)), (7, [0.0, 0.0, 2.0**23]), (50, [-big, -1.0, big]), (8, [1e308, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = [(q, r, i, max(-(2**63), min(2**63 - 1, s))) for q, r, i, s in wanted_whole(rows)]
+    assert sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0")).select("query_id", "rank", "vec_id", "score").collect())) == want
+    assert any(2**61 < abs(s) < 2**63 - 1 for *_, s in want) and want[0][-1] == 2**63 - 1
+
+
+def wanted_whole(rows):
+    whole = lambda x: math.floor(256 * x) if abs(x) < 1e300 else 10**308
+    e = [(i, [whole(x) for x in v]) for i, v in rows]
+    return [(q, r + 1, i, -s) for q, a in e if q % 50 == 0 for r, (s, i) in enumerate(sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in e if i != q)[:5])]
