@@ -9,7 +9,8 @@ Landmarks are words that labelled documents mark as toxic. Sentences of labelled
 landmarks, whitened (Nyström), and a linear SVM is fitted to them. As the kernel has
 explicit sequences, the machine's value of a string is a sum of one number a sequence:
 scoring a text is a table look-up at each place, for each way to spread ORDER signs, and
-a running sum over WINDOW places. A document scores its largest window.
+a running sum over WINDOW places. A document is judged by its TOP largest windows that lie apart, so
+what clean texts hold once by chance weighs less than what is said again and again.
 
 Letters with marks are read as the plain ones. Letters of other scripts share the 26 signs, by their code points, so that
 neighbors in an alphabet differ; words are what spaces and other signs divide.
@@ -32,13 +33,21 @@ from pyspark.sql import functions as F
 from codequarry.llm.common import buffers, read, steps
 from codequarry.ship import map_arrow
 
-ORDER, GAP, DECAY, WINDOW = 4, 2, 0.5, 10
+ORDER, GAP, DECAY, WINDOW, TOP = 4, 2, 0.5, 10, 3
+#: Places between two windows of a text at least, so that one long word doesn't count twice.
+APART = 2 * WINDOW
+#: Bytes of text read at once; a longer text is read in pieces that end at white space.
+STEP = 1 << 20
 #: Most labelled documents of each label to learn from, and most bytes of one.
 FIT_ROWS, FIT_BYTES = 1500, 32_768
 LANDMARKS = 40
-STRENGTH = 0.25
-#: Fits of one machine, each with the windows of clean texts that the ones before took for toxic.
-ROUNDS = 4
+STRENGTH = 0.4
+#: Fewest toxic texts that a mark must be in, and share of them that a lone mark with a sign put in weighs as.
+MARKED, VARIED = 5, 0.05
+#: Numbers of the table are whole parts of one by this power of two, so sums of them are exact and equal windows tie.
+EXACT = 4096
+#: What a stem's chi-square counts beside a word's.
+STEM = 0.95
 _SIGNS, _END = 28, 27
 _SPREADS = [(0, *c) for c in itertools.combinations(range(1, ORDER + GAP), ORDER - 1)]
 _PAD = np.array([0, *[_END] * (ORDER + GAP), 0], np.uint8)
@@ -54,6 +63,11 @@ for _k, _c in enumerate("aaaaaaaceeeeiiiidnooooo ouuuuy saaaaaaaceeeeiiiidnooooo
     _LATIN[0x80 + _k] = 0 if _c == " " else ord(_c) - 96
 
 
+#: Signs that part no word if they stand between two letters.
+_WITHIN = np.zeros(256, bool)
+_WITHIN[list(b".-_*'|~^+=")] = True
+
+
 def _other_letters() -> np.ndarray:
     """A sign for each code point beyond Latin-1: 0 for no letter, and _MARK for marks, which are left out."""
     out = np.zeros(0x110000, np.uint8)
@@ -92,7 +106,7 @@ def _read_others(data: np.ndarray, code: np.ndarray, keep: np.ndarray) -> None:
 def signs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signs 0 (no letter) to 26 of each row between pads, and the rows' offsets.
 
-    Single letters with one other sign between each two of them are drawn together.
+    Single letters with one other sign between each two of them are drawn together, and a sign of _WITHIN between two letters is left out.
     """
     code = _CODES[data]
     lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
@@ -109,7 +123,7 @@ def signs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for at in edges:  # what lies in another row is no letter of this one
                 shifted[at[(at >= 0) & (at < n)]] = False
         inner = ~letter[2:-2] & before1 & after1 & ~before2 & ~after2
-        keep &= ~inner
+        keep &= ~(inner | (_WITHIN[data] & before1 & after1))
     before = np.concatenate([[0], np.cumsum(keep)])
     new = before[ends]
     pad = len(_PAD)
@@ -148,47 +162,119 @@ def _has_end(code: int) -> bool:
     return any(code // _SIGNS**k % _SIGNS == _END for k in range(ORDER))
 
 
+def _at(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Weight of the sequences that begin at each place."""
+    at = np.zeros(len(s), np.float32)
+    for weight, codes in _codes_at(s):
+        at[: len(codes)] += np.float32(weight) * table[codes]
+    return at
+
+
+def _largest(s: np.ndarray, offsets: np.ndarray, table: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of each row's largest windows, none within APART places of a larger one, and where they begin; 0 and -1 for lack of more."""
+    total = np.concatenate([[0.0], np.cumsum(_at(s, table), dtype=np.float64)])
+    # a row begins at the sign 0 before it and ends at the one before the next row; no window runs past that or begins in a pad
+    begins = offsets[:-1] - 1
+    stops = np.append(begins[1:], len(s))
+    first = np.arange(begins[0], len(s))
+    sums = total[np.minimum(first + WINDOW, np.repeat(stops, stops - begins))] - total[first]
+    pads = (offsets[1:] - len(_PAD))[:, None] + np.arange(len(_PAD))
+    sums[pads[pads < stops[:, None]] - begins[0]] = -np.inf
+    starts, ends = begins - begins[0], stops - begins[0]
+    value, place = np.zeros((len(begins), top)), np.full((len(begins), top), -1)
+    for k in range(top):
+        most = np.maximum.reduceat(sums, starts)
+        where = np.flatnonzero(sums == np.repeat(most, ends - starts))
+        row, one = np.unique(np.searchsorted(starts, where, "right") - 1, return_index=True)
+        where = where[one]
+        good = np.isfinite(most[row])
+        row, where = row[good], where[good]
+        value[row, k], place[row, k] = most[row], where + begins[0]
+        around = where[:, None] + np.arange(1 - APART, APART)
+        sums[np.clip(around, starts[row][:, None], ends[row][:, None] - 1)] = -np.inf
+    return value, place
+
+
+def _chunks(texts: list[str], most: int = STEP):
+    """Signs and offsets of consecutive texts, and the first one's number."""
+    data, ends = buffers(pa.array(texts, pa.string()))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, *signs(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        at = to
+
+
+def _pieces(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets with texts of over STEP bytes cut at white space, or where a character begins, and each piece's row."""
+    cuts, rows = [0], []
+    for r in range(len(ends) - 1):
+        lo, hi = int(ends[r]), int(ends[r + 1])
+        while hi - lo > STEP:
+            near = np.flatnonzero(np.isin(data[lo + STEP - 4096 : lo + STEP], (9, 10, 11, 12, 13, 32)))
+            if not len(near):
+                near = np.flatnonzero((data[lo + STEP - 4096 : lo + STEP] & 0xC0) != 0x80) - 1
+            lo += STEP - 4096 + (int(near[-1]) + 1 if len(near) else 4096)
+            cuts.append(lo)
+            rows.append(r)
+        cuts.append(hi)
+        rows.append(r)
+    return np.array(cuts, np.int64), np.array(rows, np.int64)
+
+
 @dataclass
 class Machine:
-    """A number for each sequence, and the logistic curve that turns a document's largest window into a probability."""
+    """A number for each sequence, and the logistic curve that turns a document's largest windows into a probability."""
 
     table: np.ndarray
-    slope: float
+    slopes: np.ndarray
     offset: float
     landmarks: list[str]
+    #: What each landmark's kernel value, divided by the landmark's norm, adds: the same machine as the table.
+    coefficients: np.ndarray
 
     def windows(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Each row's largest window sum; 0 for rows without any sequence."""
-        if len(ends) < 2:
-            return np.zeros(0)
-        s, offsets = signs(data, ends)
-        at = np.zeros(len(s), np.float32)
-        for weight, codes in _codes_at(s):
-            at[: len(codes)] += np.float32(weight) * self.table[codes]
-        total = np.concatenate([[0.0], np.cumsum(at, dtype=np.float64)])
-        # a row begins at the sign 0 before it and ends at the one before the next row; no window runs past that
-        begins = offsets[:-1] - 1
-        stops = np.append(begins[1:], len(at))
-        first = np.arange(begins[0], len(at))
-        sums = total[np.minimum(first + WINDOW, np.repeat(stops, stops - begins))] - total[first]
-        return np.maximum.reduceat(sums, begins - begins[0])
+        """Each row's TOP largest window sums, 0 where it has none, and the logarithm of its length: the longer a clean text, the larger its largest windows."""
+        out = np.full((len(ends) - 1, TOP), -np.inf)
+        cuts, rows = _pieces(data, ends)
+        at = 0
+        while at < len(rows):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + STEP, "right")) - 1)
+            value, place = _largest(*signs(data[cuts[at] : cuts[to]], cuts[at : to + 1] - cuts[at]), self.table, TOP)
+            value[place < 0] = -np.inf
+            own = rows[at:to]
+            if len(np.unique(own)) == len(own) and (at == 0 or rows[at - 1] != own[0]):
+                out[own] = value
+            else:
+                for r, v in zip(own.tolist(), value):
+                    out[r] = -np.sort(-np.concatenate([out[r], v]))[:TOP]
+            at = to
+        return np.hstack([np.where(np.isfinite(out), out, 0.0), np.log(np.diff(ends) + 100.0)[:, None]])
 
     def probability(self, largest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * largest + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(largest @ self.slopes + self.offset, -30, 30)))
+
+
+#: Signs as letters; all others part words.
+_LETTERS = bytes(96 + c if 0 < c < 27 else 32 for c in range(256))
 
 
 def _words(text: str) -> set[str]:
-    data = np.frombuffer(text.encode(), np.uint8)
-    s, _ = signs(data, np.array([0, len(data)]))
-    return {w for w in "".join(chr(96 + c) if 0 < c < 27 else " " for c in s.tolist()).split() if len(w) >= 3}
+    s, _ = signs(*buffers(pa.array([text])))
+    return {w for w in s.tobytes().translate(_LETTERS).decode().split() if len(w) >= 3}
 
 
-def _distinct(texts: list[str]) -> list[str]:
-    """Texts without near copies of earlier ones: those sharing half of the eight words with the least hashes."""
+def _distinct(texts: list[str]) -> tuple[list[str], list[set[str]]]:
+    """Texts without near copies of earlier ones, those sharing half of the eight words with the least hashes, and the words of each."""
     seen: dict[int, list[int]] = {}
-    out = []
+    known: dict[str, int] = {}
+    out, said = [], []
     for t in texts:
-        low = sorted(hash_of(w) for w in _words(t))[:8]
+        words = _words(t)
+        for w in words:
+            if w not in known:
+                known[w] = hash_of(w)
+        low = sorted([known[w] for w in words])[:8]
         count: dict[int, int] = {}
         for h in low:
             for k in seen.get(h, ()):
@@ -198,7 +284,8 @@ def _distinct(texts: list[str]) -> list[str]:
         for h in low:
             seen.setdefault(h, []).append(len(out))
         out.append(t)
-    return out
+        said.append(words)
+    return out, said
 
 
 def hash_of(word: str) -> int:
@@ -208,28 +295,33 @@ def hash_of(word: str) -> int:
     return h ^ (h >> 31)
 
 
-def _units(text: str) -> set[str]:
+def _units(words: set[str]) -> set[str]:
     """Words, closed by a space, and their first 4 to 8 letters; each begins with the space before it."""
-    return {u for w in _words(text) for u in (f" {w} ", *(f" {w[:k]}" for k in range(4, min(len(w), 9))))}
+    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in range(4, min(len(w), 9))}
+
 
+def _counted(texts: list[set[str]]) -> dict[str, int]:
+    """In how many texts each unit is."""
+    out: dict[str, int] = {}
+    for words in texts:
+        for u in _units(words):
+            out[u] = out.get(u, 0) + 1
+    return out
 
-def _mined(toxic: list[str], clean: list[str]) -> list[str]:
+
+def _mined(toxic: list[set[str]], seen: dict[str, int], clean: int) -> list[str]:
     """Words and stems by how far their share of toxic texts is beyond their share of clean ones, none the beginning of another.
 
-    One with less than STRENGTH of the strongest one's chi-square is held to be chance, such as a wrong label that copies share.
+    seen: in how many of the clean texts each unit is. One with less than STRENGTH of the strongest one's chi-square is held to be
+    chance, such as a wrong label that copies share.
     """
-    seen: list[dict[str, int]] = [{}, {}]
-    for k, texts in enumerate((toxic, clean)):
-        for t in texts:
-            for u in _units(t):
-                seen[k][u] = seen[k].get(u, 0) + 1
-    a, b = max(len(toxic), 1), max(len(clean), 1)
+    a, b = max(len(toxic), 1), max(clean, 1)
     rated = []
-    for u, n in seen[0].items():
-        m = seen[1].get(u, 0)
+    for u, n in _counted(toxic).items():
+        m = seen.get(u, 0)
         p, q, r = n / a, m / b, (n + m) / (a + b)
-        if n >= max(5, 0.02 * a) and p > 8 * q and r < 1:
-            closed = 1.0 if u.endswith(" ") else 0.95  # a stem has to beat its words clearly
+        if n >= max(MARKED, 0.02 * a) and p > 8 * q and r < 1:
+            closed = 1.0 if u.endswith(" ") else STEM  # a stem has to beat its words clearly
             rated.append((closed * (p - q) ** 2 / (r * (1 - r) * (1 / a + 1 / b)), u))
     rated.sort(key=lambda x: (-x[0], -len(x[1]), x[1]))
     out: list[str] = []
@@ -245,32 +337,29 @@ def fit(toxic: list[str], clean: list[str]) -> Machine:
     It is fitted twice: the second time the strings of clean texts that came nearest to being
     toxic are landmarks too.
     """
-    toxic, clean = _distinct(toxic), _distinct(clean)
-    marks = _mined(toxic, clean)
-    if marks:  # what marks few of the toxic texts, as those of one language, is rated among the texts that have no mark yet
-        left = [t for t in toxic if not any(u == m if m.endswith(" ") else u.startswith(m) for u in _units(t) for m in marks)]
-        if len(left) >= max(20, 0.1 * len(toxic)):
-            more = [u for u in _mined(left, clean) if not any(u.startswith(m.rstrip()) for m in marks)]
-            marks += more[: LANDMARKS - len(marks)]
+    (toxic, left), (clean, other) = _distinct(toxic), _distinct(clean)
+    seen, marks = _counted(other), []
+    while len(marks) < LANDMARKS and len(left) >= max(MARKED, 0.02 * len(toxic)):
+        # what marks few of the toxic texts, as those of one language, is rated among the texts that have no mark yet
+        more = [u for u in _mined(left, seen, len(clean)) if not any(u.startswith(m.rstrip()) or m.startswith(u.rstrip()) for m in marks)]
+        if not more:
+            break
+        marks += more[: LANDMARKS - len(marks)]
+        left = [words for words in left if not any(f" {w} ".startswith(m) for w in words for m in marks)]
     if not marks or not clean:
-        return Machine(np.zeros(_SIGNS**ORDER, np.float32), 0.0, -4.0, [])
+        return Machine(np.zeros(_SIGNS**ORDER, np.float32), np.zeros(TOP + 1), -4.0, [], np.zeros(0))
     machine = _fitted(toxic, clean, marks, [])
-    hard = _nearest(machine, clean)
-    return _fitted(toxic, clean, marks, hard)
+    return _fitted(toxic, clean, marks, _nearest(machine, clean))
 
 
 def _nearest(machine: Machine, clean: list[str]) -> list[str]:
     """The highest windows of clean texts, one a text, as strings without repeats."""
     found = []
-    for t in clean:
-        data, ends = buffers(pa.array([t]))
-        s, _ = signs(data, ends)
-        at = np.zeros(len(s), np.float32)
-        for weight, codes in _codes_at(s):
-            at[: len(codes)] += np.float32(weight) * machine.table[codes]
-        if len(at):
-            i = int(np.argmax(np.convolve(at, np.ones(5, np.float32), "full")[4:]))
-            found.append((float(at[i : i + 5].sum()), "".join(" " if c in (0, _END) else chr(96 + c) for c in s[i : i + 10].tolist())))
+    for _, s, offsets in _chunks(clean):
+        value, place = _largest(s, offsets, machine.table, 1)
+        for v, i in zip(value[:, 0].tolist(), place[:, 0].tolist()):
+            if i >= 0:
+                found.append((v, "".join(" " if c in (0, _END) else chr(96 + c) for c in s[i : i + WINDOW].tolist())))
     found.sort(key=lambda x: (-x[0], x[1]))
     return list(dict.fromkeys(w for _, w in found if w.strip()))[:LANDMARKS]
 
@@ -279,97 +368,72 @@ def _fitted(toxic: list[str], clean: list[str], marks: list[str], more: list[str
     lands = [*marks, *more]
     phi = [sequences(w) for w in lands]
     index = {u: i for i, u in enumerate(sorted({u for p in phi for u in p}))}
-    land = np.zeros((len(lands), len(index)))
+    land = np.zeros((len(lands), len(index) + 1))  # the last column is that of all other sequences
     for j, p in enumerate(phi):
         for u, v in p.items():
             land[j, index[u]] = v
     land /= np.maximum(np.linalg.norm(land, axis=1, keepdims=True), 1e-9)
     value, vector = np.linalg.eigh(land @ land.T)
     root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T
-    where = np.full(_SIGNS**ORDER, -1, np.int32)
+    where = np.full(_SIGNS**ORDER, len(index), np.int32)
     where[list(index)] = np.arange(len(index))
-
-    def instances(texts):
-        """Of each sentence the window nearest to a landmark: kernel values, and the text's number."""
-        found, owner = [], []
-        for k, t in enumerate(texts):
-            raw = [x.encode() for x in _sentences(t) if x]
-            if not raw:
+    columns = np.ascontiguousarray(land.T)
+
+    def kernels(texts, table, top=1):
+        """Kernel values with the landmarks of each text's largest windows by table, where those have any weight, and their texts' numbers."""
+        found, owner = [np.zeros((0, len(lands)))], [np.zeros(0, np.int64)]
+        for first, s, offsets in _chunks(texts):
+            value, place = _largest(s, offsets, table, top)
+            row, k = np.nonzero((place >= 0) & (value > 0))
+            if not len(row):
                 continue
-            data = np.frombuffer(b"".join(raw), np.uint8)
-            s, offsets = signs(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
-            place, col, val = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            at = place[row, k]
+            stop = np.append(offsets[1:] - 1, len(s))[row]
+            out = np.zeros((len(at), len(lands)))
             for weight, codes in _codes_at(s):
-                u = where[codes]
-                hit = np.flatnonzero(u >= 0)
-                place.append(hit)
-                col.append(u[hit])
-                val.append(np.full(len(hit), weight))
-            place, col, val = np.concatenate(place), np.concatenate(col), np.concatenate(val)
-            if not len(place):
-                continue
-            # windows that overlap by half: even ones begin at multiples of WINDOW, odd ones half a window before
-            block = np.zeros((2 * (len(s) // WINDOW + 2), len(lands)))
-            part = land[:, col].T * val[:, None]
-            np.add.at(block, 2 * (place // WINDOW), part)
-            np.add.at(block, 2 * ((place + WINDOW // 2) // WINDOW) + 1, part)
-            number = np.arange(len(block))
-            middle = number // 2 * WINDOW + np.where(number % 2 == 0, WINDOW // 2, 0)
-            sentence = np.searchsorted(offsets, middle, "right")
-            strength = block[:, : len(marks)].max(axis=1)
-            order = np.lexsort((-strength, sentence))
-            best = order[np.concatenate([[True], np.diff(sentence[order]) > 0])]
-            best = best[strength[best] > 0]
-            found.append(block[best])
-            owner += [k] * len(best)
-        return (np.concatenate(found) if found else np.zeros((0, len(lands)))), np.array(owner, int)
-
-    kp, own = instances(toxic)
-    kn, _ = instances(clean)
+                for i in range(WINDOW):
+                    inside = (at + i < len(codes)) & (at + i < stop)
+                    u = np.where(inside, where[codes[np.minimum(at + i, len(codes) - 1)]], len(index))
+                    hit = np.flatnonzero(u < len(index))
+                    out[hit] += weight * columns[u[hit]]
+            found.append(out)
+            owner.append(first + row)
+        return np.concatenate(found), np.concatenate(owner)
+
+    # the window of each sentence with the most weight of marks' sequences
+    near = np.zeros(_SIGNS**ORDER, np.float32)
+    near[list(index)] = land[: len(marks), :-1].max(axis=0)
+
+    def sentences(texts):
+        """Kernel values, and the text of each sentence."""
+        said = [(x, k) for k, t in enumerate(texts) for x in _sentences(t) if x]
+        found, row = kernels([x for x, _ in said], near)
+        return found, np.array([k for _, k in said], np.int64)[row]
+
+    kp, own = sentences(toxic)
+    kn, _ = sentences(clean)
     # which sentences of a toxic text are the toxic ones: those near a landmark, else its nearest
-    near = kp[:, : len(marks)].max(axis=1) if len(kp) else np.zeros(0)
-    positive = near >= 0.7 * np.median([np.linalg.norm([*p.values()]) for p in phi[: len(marks)]])
+    close = kp[:, : len(marks)].max(axis=1) if len(kp) else np.zeros(0)
+    positive = close >= 0.7 * np.median([np.linalg.norm([*p.values()]) for p in phi[: len(marks)]])
     for k in set(own.tolist()):
         at = np.flatnonzero(own == k)
         if not positive[at].any():
-            positive[at[np.argmax(near[at])]] = True
+            positive[at[np.argmax(close[at])]] = True
     hard = np.argsort(-kn[:, : len(marks)].max(axis=1), kind="stable")[:20_000] if len(kn) else np.zeros(0, int)
     # landmarks with a sign put in are toxic sentences too
     varied = [v for w in marks for v in _variants(w)]
-    ka, _ = instances(varied)
-    def highest(texts, table):
-        """Kernel values of each text's window of the highest score."""
-        out = np.zeros((len(texts), len(lands)))
-        for k, t in enumerate(texts):
-            s, _ = signs(*buffers(pa.array([t])))
-            at, spreads = np.zeros(len(s) + WINDOW, np.float32), _codes_at(s)
-            for weight, codes in spreads:
-                at[: len(codes)] += np.float32(weight) * table[codes]
-            i = int(np.argmax(np.convolve(at, np.ones(WINDOW, np.float32), "valid")))
-            for weight, codes in spreads:
-                u = where[codes[i : i + WINDOW]]
-                out[k] += weight * land[:, u[u >= 0]].sum(axis=1)
-        return out
+    ka, _ = kernels(varied, near)
 
     def even(n):
         return np.full(n, 1 / max(n, 1))
 
     positives, negatives = np.concatenate([kp[positive], ka]), kn[hard]
-    mined: list[np.ndarray] = []
+    y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives))])
+    w, _ = _svm(np.concatenate([positives, negatives]) @ root, y, 0.5 * np.concatenate([even(len(positives)), even(len(negatives))]))
     table = np.zeros(_SIGNS**ORDER, np.float32)
-    for _ in range(ROUNDS):
-        # what the last machine took for toxic in clean texts weighs as much as all other clean windows
-        found = np.concatenate(mined) if mined else np.zeros((0, len(lands)))
-        x = np.concatenate([positives, negatives, found]) @ root
-        y = np.concatenate([np.ones(len(positives)), -np.ones(len(negatives) + len(found))])
-        share = 0.25 if mined else 0.5
-        w, _ = _svm(x, y, np.concatenate([0.5 * even(len(positives)), share * even(len(negatives)), 0.25 * even(len(found))]))
-        table = np.zeros(_SIGNS**ORDER, np.float32)
-        table[list(index)] = (root @ w) @ land
-        mined.append(highest(clean, table))
-    machine = Machine(table, 1.0, 0.0, lands)
-    a, v, c = (np.concatenate([machine.windows(*buffers(pa.array(texts[i : i + 200]))) for i in range(0, len(texts), 200)]) for texts in (toxic, varied, clean))
-    machine.slope, machine.offset = _curve(a, v, c)
+    table[list(index)] = np.round(((root @ w) @ land)[:-1] * EXACT) / EXACT
+    machine = Machine(table, np.zeros(TOP + 1), 0.0, lands, root @ w)
+    machine.slopes, machine.offset = _curve(*(machine.windows(*buffers(pa.array(texts, pa.string()))) for texts in (toxic, varied, clean)))
     return machine
 
 
@@ -401,22 +465,30 @@ def _svm(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float = 1e-3) -> tu
     return w[:-1], float(w[-1])
 
 
-def _curve(toxic: np.ndarray, varied: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with softened targets; all variants weigh as much as a tenth of the toxic texts."""
+def _curve(toxic: np.ndarray, varied: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a logistic fit with softened targets.
+
+    A variant stands alone in a text that is otherwise as the middle one of the clean texts; all of them weigh as much as VARIED of
+    the toxic texts.
+    """
+    if len(clean):
+        usual = np.median(clean, axis=0)
+        varied = np.hstack([-np.sort(-np.hstack([varied[:, :1], np.tile(usual[:-1], (len(varied), 1))]), axis=1)[:, :TOP], np.full((len(varied), 1), usual[-1])])
     s = np.concatenate([toxic, varied, clean])
-    scale = max(float(np.abs(s).max(initial=0.0)), 1e-9)
+    scale = np.maximum(np.abs(s).max(axis=0, initial=0.0), 1e-9)
     n, m = len(toxic), len(clean)
     t = np.concatenate([np.full(n + len(varied), (n + 1) / (n + 2)), np.full(m, 1 / (m + 2))])
-    c = np.concatenate([np.ones(n), np.full(len(varied), 0.1 * max(n, 1) / max(len(varied), 1)), np.ones(m)]) / (n + m + 1)
-    x = np.stack([s / scale, np.ones(len(s))], axis=1)
-    w = np.zeros(2)
-    for _ in range(100):
+    c = np.concatenate([np.ones(n), np.full(len(varied), VARIED * max(n, 1) / max(len(varied), 1)), np.ones(m)]) / (n + m + 1)
+    x = np.hstack([s / scale, np.ones((len(s), 1))])
+    ridge = np.diag([1e-5] * (TOP + 1) + [1e-7])
+    w = np.zeros(TOP + 2)
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ ((c * p * (1 - p) + 1e-9)[:, None] * x) + 1e-7 * np.eye(2), x.T @ (c * (p - t)) + 1e-7 * w)
+        step = np.linalg.solve(x.T @ ((c * p * (1 - p) + 1e-9)[:, None] * x) + ridge, x.T @ (c * (p - t)) + ridge @ w)
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return w[:-1] / scale, float(w[-1])
 
 
 def held_out(id_col):
@@ -452,7 +524,7 @@ def score(docs: DataFrame, machine: Machine, *, id_col: str = "doc_id", text_col
     def run(batches):
         m = shared.value
         for batch in batches:
-            for part in steps(batch, "__cq_text"):
+            for part in steps(batch, "__cq_text", STEP):
                 p = m.probability(m.windows(*buffers(part.column("__cq_text"))))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 

@@ -53,22 +53,69 @@ def test_sequences_are_the_kernels_by_definition():
         assert all(k in got for k, v in want.items())
 
 
+def highest_by_definition(text, weight):
+    """The highest window sums of one text, none within APART places of a higher one; weight(code): a sequence's number."""
+    d = np.frombuffer(text.encode(), np.uint8)
+    s, _ = tox.signs(d, np.array([0, len(d)]))
+    s = s[len(tox._PAD) - 1 :].tolist()
+    at = [0.0] * len(s)
+    for i in range(len(s) - tox.ORDER - tox.GAP + 1):
+        for spread in tox._SPREADS:
+            code = 0
+            for k in spread:
+                code = code * tox._SIGNS + s[i + k]
+            at[i] += tox.DECAY ** (spread[-1] + 1 - tox.ORDER) * weight(code)
+    left = {i: sum(at[i : i + tox.WINDOW]) for i in range(len(s) - len(tox._PAD))}
+    out = []
+    while left and len(out) < tox.TOP:
+        best = max(left, key=lambda i: (left[i], -i))
+        out.append(left[best])
+        left = {i: v for i, v in left.items() if abs(i - best) >= tox.APART}
+    return out + [0.0] * (tox.TOP - len(out))
+
+
 def test_windows_equal_sums_by_definition(machine):
     texts = [t for _, t, _ in corpus(30, 3)] + ["", "a", "no", INSULTS[0] + " " + " ".join(CLEAN[:9]) + " " + INSULTS[1], INSULTS[2]]
     got = machine.windows(*tox.buffers(pa.array(texts)))
     for text, value in zip(texts, got):
-        d = np.frombuffer(text.encode(), np.uint8)
-        s, _ = tox.signs(d, np.array([0, len(d)]))
-        s = s[len(tox._PAD) - 1 :]
-        at = np.zeros(len(s))
-        for i in range(len(s) - tox.ORDER - tox.GAP + 1):
-            for spread in tox._SPREADS:
-                code = 0
-                for k in spread:
-                    code = code * tox._SIGNS + int(s[i + k])
-                at[i] += tox.DECAY ** (spread[-1] + 1 - tox.ORDER) * machine.table[code]
-        sums = [at[i : i + tox.WINDOW].sum() for i in range(len(at))]
-        assert value == pytest.approx(max(sums), abs=1e-3)
+        want = highest_by_definition(text, lambda c: float(machine.table[c]))
+        assert value[0] == pytest.approx(want[0], abs=1e-6)
+        assert value[: tox.TOP].sum() == pytest.approx(sum(want), abs=1e-6)
+        assert value[-1] == pytest.approx(np.log(len(text.encode()) + 100))
+
+
+def test_the_querys_scores_equal_the_kernel_machine_by_definition(spark, tmp_path):
+    rows = corpus(240, 6)
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in tox.query(spark, str(tmp_path)).collect()}
+    seen = [(t, y) for i, t, y in sorted(rows) if zlib.crc32(str(i).encode()) % 5]
+    m = tox.fit([t for t, y in seen if y], [t for t, y in seen if not y])
+    features = [tox.sequences(x) for x in m.landmarks]
+    norms = [sum(v * v for v in f.values()) ** 0.5 for f in features]
+    total = {}
+    for f, n, c in zip(features, norms, m.coefficients.tolist()):  # the sum over landmarks of coefficient times normalised kernel
+        for u, v in f.items():
+            total[u] = total.get(u, 0.0) + c * v / n
+    for i, t, _ in rows[:40]:
+        x = [*highest_by_definition(t, lambda c: round(total.get(c, 0.0) * tox.EXACT) / tox.EXACT), np.log(len(t.encode()) + 100)]
+        p = 1 / (1 + np.exp(-(np.dot(x, m.slopes) + m.offset)))
+        assert got[i]["score"] == pytest.approx(p, abs=1e-3), i
+    assert sum(got[i]["predicted"] == y for i, _, y in rows) >= 0.95 * len(rows)
+
+
+def test_texts_of_several_pieces(machine, monkeypatch):
+    filler = " ".join(CLEAN)
+    texts = [filler * 3 + f" {INSULTS[0]} " + filler, "", "x" * 30_000, INSULTS[1], "ж" * 9_000 + f" {INSULTS[2]} and {INSULTS[1]}"]
+    whole = machine.windows(*tox.buffers(pa.array(texts)))
+    monkeypatch.setattr(tox, "STEP", 8192)
+    cuts, rows = tox._pieces(*tox.buffers(pa.array(texts)))
+    assert max(np.diff(cuts)) <= 8192 and (np.diff(rows) >= 0).all() and len(rows) > 10
+    parts = machine.windows(*tox.buffers(pa.array(texts)))
+    assert np.allclose(whole[:, [0, -1]], parts[:, [0, -1]], atol=1e-3)
+    data = tox.buffers(pa.array(texts))[0]
+    for c in cuts[1:-1]:
+        assert data[c] & 0xC0 != 0x80
 
 
 def test_gapped_and_inserted_signs(machine):
@@ -84,7 +131,7 @@ def test_score_does_not_depend_on_neighbours(machine):
     texts = [t for _, t, _ in corpus(50, 4)]
     together = machine.windows(*tox.buffers(pa.array(texts)))
     alone = np.concatenate([machine.windows(*tox.buffers(pa.array([t]))) for t in texts])
-    assert np.allclose(together, alone, atol=1e-5)
+    assert np.array_equal(together, alone)
 
 
 def test_nulls_repeats_empty_tables_and_other_columns(spark):
