@@ -29,7 +29,7 @@ from codequarry.ship import map_arrow
 
 SPACE = "▁"
 #: Chunks whose encodings a worker keeps, and characters of those and their encodings. They bound memory and change no result.
-KEPT, KEPT_CHARS = 250_000, 32_000_000
+KEPT, KEPT_CHARS = 60_000, 8_000_000
 _NONE = float("-inf")
 
 
