@@ -10,13 +10,20 @@ from codequarry.functions.elixir import Atom, Node, ParseError, children, encode
 
 DEFS = ("def", "defp", "defmacro", "defmacrop")
 OTHER_DEFS = ("defdelegate", "defcallback", "defmacrocallback")
-#: Names that stand for syntax, operators, documentation or types rather than calls.
-NOISE = {
+#: Forms of the syntax tree that are no calls, whatever their arity: operators, blocks and containers, and the words that define or bring in.
+SYNTAX = {
     *". + - * / ++ -- <> == != =~ === !== < > <= >= && || and or not ! in |> = | :: => .. & ^ @ <- \\\\ when ** __block__ __aliases__ {} %{} % <<>> fn -> access charlist".split(),
-    *DEFS, *OTHER_DEFS, "defmodule", "defstruct", "do", "alias", "import", "require", "use", "quote", "unquote",
-    *"doc moduledoc typedoc spec type typep opaque callback impl behaviour".split(),
-    *"any term atom boolean binary bitstring integer float number list map keyword tuple pid reference non_neg_integer pos_integer no_return".split(),
+    *DEFS, *OTHER_DEFS, *"defmodule defstruct do alias import require use quote unquote".split(),
 }
+#: What typespecs and module documentation call, by name and arity; the same names with other arities are calls.
+NOISE = set(
+    "doc/1 moduledoc/1 typedoc/1 spec/1 type/1 typep/1 callback/1 macrocallback/1 "
+    "any/0 atom/0 binary/0 boolean/0 float/0 function/0 integer/0 list/0 map/0 none/0 non_neg_integer/0 number/0 pid/0 port/0 reference/0 term/0 timeout/0".split()
+)
+#: Attributes that document or type rather than hold a value.
+TYPE_ATTRIBUTES = set("doc moduledoc typedoc spec type typep opaque callback macrocallback impl behaviour".split())
+#: What marks generated sources near their beginning, and how many characters are looked at.
+GENERATED_MARKS, GENERATED_HEAD = ("generated", "do not edit", "autogenerated", "auto-generated"), 2000
 GENERATED_BYTES = 500_000
 
 
@@ -129,7 +136,8 @@ def terms(n: Any) -> list[str]:
 
 def generated(path: str, source: str) -> bool:
     parts = path.split("/")
-    return "generated" in parts or "gen" in parts or path.endswith(".pb.ex") or "generated by" in source[:400].lower() or len(source.encode()) >= GENERATED_BYTES
+    start = source[:GENERATED_HEAD].lower()
+    return "generated" in parts or "gen" in parts or any(p.endswith(".pb.ex") for p in parts) or any(m in start for m in GENERATED_MARKS) or len(source.encode()) >= GENERATED_BYTES
 
 
 def fragments(path: str, source: str, tree: Any, *, min_mass: int = 15, generated_min_mass: int | None = None) -> list[dict]:
@@ -218,9 +226,9 @@ def symbols(tree: Any) -> tuple[list[dict], list[dict], list[dict]]:
             heads.add(id(n.args[0]))
         elif n.form == "@" and n.args and isinstance(n.args[0], Node):
             name = n.args[0].form
-            if n.args[0].args and name not in NOISE:
+            if n.args[0].args and name not in TYPE_ATTRIBUTES:
                 defs.append(row("attribute", here, f"@{name}", None, n))
-            elif name not in NOISE and n.args[0].args is None:
+            elif name not in TYPE_ATTRIBUTES and n.args[0].args is None:
                 refs.append(row("module_attribute", here, f"@{name}", None, n))
             heads.add(id(n.args[0]))
         elif n.form == "__aliases__":
@@ -228,7 +236,7 @@ def symbols(tree: Any) -> tuple[list[dict], list[dict], list[dict]]:
         elif isinstance(n.form, Node) and n.form.form == "." and len(n.form.args) == 2:
             if target := alias_name(n.form.args[0]):
                 refs.append(row("remote_call", resolved(target) if target[0] != ":" else target, n.form.args[1], len(n.args), n))
-        elif isinstance(n.form, str) and n.form not in NOISE and not n.form.startswith("sigil_") and id(n) not in heads:
+        elif isinstance(n.form, str) and n.form not in SYNTAX and f"{n.form}/{len(n.args)}" not in NOISE and not n.form.startswith("sigil_") and id(n) not in heads:
             refs.append(row("local_call", None, n.form, len(n.args), n))
     # calls lie in the definition that begins last before them
     bodies = sorted([d for d in defs if d["kind"] in DEFS], key=lambda d: d["line"])
@@ -248,6 +256,23 @@ def symbols(tree: Any) -> tuple[list[dict], list[dict], list[dict]]:
     return defs, refs, edges
 
 
+def symbol_sets(tree: Any) -> dict[str, list[str]]:
+    """Of a file, sorted and each once: defs, refs, modules, functions, aliases, structs and atoms."""
+    defs, refs, _ = symbols(tree)
+    nodes = list(walk(tree))
+    structs = (alias_name(n.args[0]) for n in nodes if is_call(n) and n.form == "%" and n.args)
+    found = {
+        "defs": (d["name"] if d["kind"] == "module" else f"{d['name']}/{d['arity']}" for d in defs if d["kind"] == "module" or d["kind"] in DEFS),
+        "refs": (r["qualified_name"] for r in refs if r["kind"] in ("local_call", "remote_call")),
+        "modules": (d["name"] for d in defs if d["kind"] == "module"),
+        "functions": (d["name"] for d in defs if d["kind"] in DEFS),
+        "aliases": (alias_name(n.args[0]) for n in nodes if is_call(n) and n.form == "alias" and n.args),
+        "structs": structs,
+        "atoms": (n.name for n in nodes if isinstance(n, Atom)),
+    }
+    return {k: sorted({x for x in v if x}) for k, v in found.items()}
+
+
 def comment_rows(comments: list[tuple[str, int, int]]) -> list[dict]:
     return [{"text": t, "line": line, "column": column} for t, line, column in comments]
 

@@ -114,7 +114,7 @@ def tokenize(text: str, line: int = 1, column: int = 1) -> tuple[list[Token], li
         elif c == ":" and text[i + 1 : i + 2] == '"':
             parts, stop = _quoted(text, i + 2, '"', line, True)
             add("atom", "".join(p for p in parts if isinstance(p, str)), stop, space)
-        elif c == ":" and (m := re.compile(r"[A-Za-z_][A-Za-z0-9_@]*[!?]?|\{\}|%\{\}|<<>>|[+\-*/<>=!&|^~.@%]+|\[\]|::").match(text, i + 1)) and (text[i : i + 2] != "::" or text[i : i + 3] == ":::"):
+        elif c == ":" and (m := re.compile(r"[A-Za-z_][A-Za-z0-9_@]*[!?]?|\{\}|%\{\}|<<>>|[+\-*/<>=!&|^~.@%]+|\\\\|\[\]|::").match(text, i + 1)) and (text[i : i + 2] != "::" or text[i : i + 3] == ":::"):
             add("atom", m[0], m.end(), space)
         elif m := _NUMBER.match(text, i):
             raw = m[0].replace("_", "")

@@ -42,6 +42,22 @@ def icontains(column: Column, text: str) -> Column:
     return F.lower(column).contains(text.lower())
 
 
+#: What parts the words of the stored postings, in lower case.
+WORD_BREAK = r"[^a-z0-9]+"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text's lower case, repeats included."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), WORD_BREAK, " "), " "), lambda w: w != "")
+
+
+def inner_words(literal: str) -> list[str]:
+    """Words that any text with this literal has whole: those with a sign beside them on both sides. Words at its ends may go on in the text."""
+    ascii_lower = "".join(c.lower() if c.isascii() else " " for c in literal)
+    parts = re.split(WORD_BREAK, ascii_lower)
+    return sorted({w for w in parts[1:-1] if w}) if literal.isascii() else []
+
+
 def glob_regex(glob: str) -> str:
     """A relative path pattern as a regular expression: * within a segment, ** across them."""
     if not glob or glob.startswith("/") or ".." in glob.split("/"):

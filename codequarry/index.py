@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -139,10 +140,36 @@ class Index:
         return out.orderBy(*keys).offset(skip).limit(limit).withColumn("score", F.lit(1.0))
 
     def explain(self, q: Q) -> dict:
-        plan = self.plan(q)
+        """The plan, what each step leaves and how long it took in milliseconds, and how many candidates the matcher rejected."""
+        stages: dict[str, float] = {}
+
+        def timed(name, f):
+            began = time.perf_counter()
+            out = f()
+            stages[name] = round(1000 * (time.perf_counter() - began), 3)
+            return out
+
+        plan = timed("plan", lambda: self.plan(q))
+        candidates = timed("candidates", lambda: self.estimate(q))
         rows = compiler.compile_plan(plan, self.table)
-        candidates = self.estimate(q)
-        return {"plan": plan, "required_terms": plan.required_terms, "candidates": candidates, "verified": rows.count(), "physical": rows._jdf.queryExecution().toString()}
+        verified = timed("verify", rows.count)
+        return {
+            "plan": plan, "required_terms": plan.required_terms, "candidates": candidates, "verified": verified, "stages": stages,
+            "rejected": candidates.value - verified if candidates.relation == "eq" else None, "physical": rows._jdf.queryExecution().toString(),
+        }
+
+    def explain_text(self, literal: str, **scope) -> dict:
+        """How a literal is searched: words that the postings narrow the files by, and files before, after that, and with the literal."""
+        words, files = T.inner_words(literal), compiler.scope(self.table("files"), **scope)
+        left = self._holding(files, words)
+        return {"strategy": "postings" if words else "scan", "words": words, "files": files.count(), "candidates": left.count(), "verified": left.where(F.col("source").contains(literal)).count()}
+
+    def explain_similar(self, source: str, *, min_similarity: float = 0.8, prefilter: str = "auto", **scope) -> dict:
+        """How similar fragments are searched: strategy, mass and sub-trees of the query, fragments before and after the filter, and results."""
+        mine, rows, strategy = self._similar_candidates(source, min_similarity, prefilter, scope)
+        found = self.similar(source, min_similarity=min_similarity, limit=paging.MAX_CANDIDATES, prefilter=prefilter, **scope).count()
+        total = compiler.scope(self.table("fragments"), **scope).count()
+        return {"strategy": strategy, "mass": mine["mass"], "sub_trees": len(mine["sub_hashes"]), "fragments": total, "candidates": rows.count(), "verified": found}
 
     # text
 
@@ -173,9 +200,17 @@ class Index:
 
     def search_text(self, literal: str, *, skip: int = 0, limit: int = 50, mode: str = "smallest", **scope) -> DataFrame:
         """Places of a literal, case-sensitive, with the fragment around each (mode "first": the file's first fragment)."""
-        rows = compiler.scope(self.table("files"), **scope).where(F.col("source").contains(literal))
+        rows = self._holding(compiler.scope(self.table("files"), **scope), T.inner_words(literal)).where(F.col("source").contains(literal))
         return self._located(rows, literal_locations, literal, skip, limit, mode)
 
+    def _holding(self, files: DataFrame, words: Sequence[str]) -> DataFrame:
+        """Files that have all words, by the stored postings, so that other sources needn't be read; all files if no word is asked for."""
+        if not words:
+            return files
+        ids = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()]
+        hit = postings.intersect(self.table("file_terms"), "file_id", ids, "term_id").withColumnRenamed("file_id", "h_id")
+        return files.join(hit, F.col("id") == F.col("h_id"), "left_semi")
+
     def search_regex(self, pattern: str, *, skip: int = 0, limit: int = 50, mode: str = "smallest", **scope) -> DataFrame:
         """Places of a regular expression; flags are written within it, as (?i). It must be one in Java and in Python."""
         try:
@@ -189,12 +224,12 @@ class Index:
     def search_ranked(self, text: str, *, limit: int = 50, **scope) -> DataFrame:
         """Files by BM25 of the text's identifier tokens, best first, ties by path."""
         tokens = [t for t in self.spark.range(1).select(T.identifier_tokens(F.lit(text))).first()[0].split(" ") if t]
-        files = compiler.scope(self.table("files"), **scope)
-        words = F.filter(F.split(F.regexp_replace(F.lower("source"), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
-        docs = files.select(F.col("id").alias("doc"), "path", words.alias("w"))
-        post = docs.select("doc", F.explode(F.filter("w", lambda x: x.isin(tokens))).alias("term")).groupBy("term", "doc").agg(F.count("*").alias("tf"))
-        scored = postings.bm25(post, docs.select("doc", F.size("w").alias("len")), tokens, "doc")
-        return scored.join(docs.select("doc", "path"), "doc").orderBy(F.desc("score"), "path").limit(limit).withColumnRenamed("doc", "file_id")
+        ids = [r[0] for r in self.spark.createDataFrame([(t,) for t in tokens], "t string").select(F.xxhash64("t")).collect()]
+        post = compiler.scope(self.table("file_terms"), **scope).select("term_id", "file_id", "tf")
+        lengths = compiler.scope(self.table("file_lengths"), **scope).select("file_id", "len")
+        scored = postings.bm25(post, lengths, ids, "file_id", term="term_id")
+        paths = compiler.scope(self.table("files"), **scope).select(F.col("id").alias("f_id"), "path")
+        return scored.join(paths, F.col("file_id") == F.col("f_id")).select("file_id", "score", "path").orderBy(F.desc("score"), "path").limit(limit)
 
     def search_comments(self, literal: str, *, skip: int = 0, limit: int = 50, **scope) -> DataFrame:
         rows = compiler.scope(self.table("comments"), **scope).where(F.col("text").contains(literal))
@@ -212,18 +247,18 @@ class Index:
     def search_references(self, name: str, *, skip: int = 0, limit: int = 50, **scope) -> DataFrame:
         return self._facts("references", name, skip, limit, scope)
 
-    def _edges(self, column: str, name: str, limit: int, scope: dict) -> DataFrame:
+    def _edges(self, column: str, name: str, skip: int, limit: int, scope: dict) -> DataFrame:
         c = F.col(column)
         rows = compiler.scope(self.table("call_edges"), **scope).where((c == name) | T.icontains(c, name))
-        return rows.withColumn("score", F.lit(1.0)).orderBy(F.col("file_id").asc_nulls_last(), F.col("line").asc_nulls_last(), "id").limit(limit)
+        return rows.withColumn("score", F.lit(1.0)).orderBy(F.col("file_id").asc_nulls_last(), F.col("line").asc_nulls_last(), "id").offset(skip).limit(limit)
 
-    def search_callers(self, name: str, *, limit: int = 50, **scope) -> DataFrame:
+    def search_callers(self, name: str, *, skip: int = 0, limit: int = 50, **scope) -> DataFrame:
         """Edges whose callee is called so."""
-        return self._edges("callee_qualified_name", name, limit, scope)
+        return self._edges("callee_qualified_name", name, skip, limit, scope)
 
-    def search_callees(self, name: str, *, limit: int = 50, **scope) -> DataFrame:
+    def search_callees(self, name: str, *, skip: int = 0, limit: int = 50, **scope) -> DataFrame:
         """Edges whose caller is called so."""
-        return self._edges("caller_qualified_name", name, limit, scope)
+        return self._edges("caller_qualified_name", name, skip, limit, scope)
 
     # similarity
 
@@ -233,14 +268,8 @@ class Index:
         prefilter "subhash" keeps fragments within half and double the mass that share a sub-tree, "scan" takes
         all, "auto" takes the former from a similarity of 0.8 on.
         """
-        found = code.extract("query.ex", source, min_mass=1)
-        if not found or not found["fragments"]:
-            raise QueryError("the source has no fragment")
-        mine = max(found["fragments"], key=lambda f: (f["mass"], -f["ordinal"]))
-        rows = compiler.scope(self.table("fragments"), **scope)
+        mine, rows, _ = self._similar_candidates(source, min_similarity, prefilter, scope)
         hashes = F.array(*[F.lit(h) for h in mine["sub_hashes"]]).cast("array<long>")
-        if prefilter == "subhash" or prefilter == "auto" and min_similarity >= 0.8 and mine["sub_hashes"]:
-            rows = rows.where((F.col("mass") >= mine["mass"] // 2) & (F.col("mass") <= 2 * mine["mass"]) & F.arrays_overlap("sub_hashes", hashes))
         rows = rows.select("id", "file_id", "kind", "module", "name", "arity", "line", "mass", F.size(F.array_intersect("sub_hashes", hashes)).alias("overlap"), "ast")
         ast = mine["ast"]
 
@@ -253,10 +282,22 @@ class Index:
         out = map_arrow(rows, run, "id long, file_id long, kind string, module string, name string, arity int, line int, mass int, overlap int, similarity double")
         return out.where(F.col("similarity") >= min_similarity).orderBy(F.desc("similarity"), F.desc("overlap"), "id").limit(limit)
 
+    def _similar_candidates(self, source: str, min_similarity: float, prefilter: str, scope: dict) -> tuple[dict, DataFrame, str]:
+        """The source's largest fragment, the fragments to compare it with, and the strategy that chose them."""
+        found = code.extract("query.ex", source, min_mass=1)
+        if not found or not found["fragments"]:
+            raise QueryError("the source has no fragment")
+        mine = max(found["fragments"], key=lambda f: (f["mass"], -f["ordinal"]))
+        rows = compiler.scope(self.table("fragments"), **scope)
+        if prefilter != "subhash" and not (prefilter == "auto" and min_similarity >= 0.8 and mine["sub_hashes"]):
+            return mine, rows, "scan"
+        hashes = F.array(*[F.lit(h) for h in mine["sub_hashes"]]).cast("array<long>")
+        return mine, rows.where((F.col("mass") >= mine["mass"] // 2) & (F.col("mass") <= 2 * mine["mass"]) & F.arrays_overlap("sub_hashes", hashes)), "subhash"
+
     # audits
 
     def audit(self, checks: dict[str, Sequence[str]], *, limit: int | None = None, most_df: int = 10_000, mode: str = "exact", **scope) -> DataFrame:
-        """Findings of many patterns at once, one row a match: check, kind, package_version_id, file, line, message, snippet.
+        """Findings of many patterns at once, one row a match: check, kind, package_version_id, file, line, message, fingerprint, snippet.
 
         checks: messages by their patterns. Candidates have all terms of some pattern (mode "exact") or the rarest
         one of it (mode "anchor", in which patterns with a commoner anchor than most_df are left out).
@@ -278,7 +319,7 @@ class Index:
         else:
             rows = rows.withColumn("groups", F.array().cast("array<int>"))
         files = self.table("files").select(F.col("id").alias("f_id"), "path", "source")
-        rows = rows.select("id", "file_id", "package_version_id", "line", "mass", "ast", "groups")
+        rows = rows.select("id", "file_id", "package_version_id", "line", "mass", "exact_hash", "ast", "groups")
 
         def run(batches):
             rules = [match.compiled(p) for _, p in flat]
@@ -291,12 +332,12 @@ class Index:
                             take.append(i)
                             which.append(g)
                 rows_ = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(c).take(rows_) for c in ("id", "file_id", "package_version_id", "line", "mass")] + [pa.array([flat[g][0] for g in which], pa.string()), pa.array([flat[g][1] for g in which], pa.string())], ["id", "file_id", "package_version_id", "line", "mass", "check", "message"])
+                yield pa.RecordBatch.from_arrays([b.column(c).take(rows_) for c in ("id", "file_id", "package_version_id", "line", "mass", "exact_hash")] + [pa.array([flat[g][0] for g in which], pa.string()), pa.array([flat[g][1] for g in which], pa.string())], ["id", "file_id", "package_version_id", "line", "mass", "fingerprint", "check", "message"])
 
-        found = map_arrow(rows, run, "id long, file_id long, package_version_id long, line int, mass int, check string, message string")
-        # of nested matches on one line the innermost stays
-        found = audits.dedup(found, ["check", "message", "package_version_id", "file_id", "line"], [F.col("mass"), F.col("id")])
-        out = found.join(files, F.col("file_id") == F.col("f_id")).select("id", "check", F.lit("pattern").alias("kind"), "package_version_id", F.col("path").alias("file"), "line", "message", T.snippet(F.col("source"), F.col("line")).alias("snippet"))
+        found = map_arrow(rows, run, "id long, file_id long, package_version_id long, line int, mass int, fingerprint string, check string, message string")
+        # two matches on one line are two findings unless their code is the same
+        found = audits.dedup(found, ["check", "message", "package_version_id", "file_id", "line", "fingerprint"], [F.col("mass"), F.col("id")])
+        out = found.join(files, F.col("file_id") == F.col("f_id")).select("id", "check", F.lit("pattern").alias("kind"), "package_version_id", F.col("path").alias("file"), "line", "message", "fingerprint", T.snippet(F.col("source"), F.col("line")).alias("snippet"))
         out = out.orderBy("check", "file", F.col("line").asc_nulls_last(), "message", "id")
         return out if limit is None else out.limit(limit)
 

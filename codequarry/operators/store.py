@@ -72,7 +72,9 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def table(self, name: str) -> DataFrame:
-        """A table's rows; none if it was never written."""
+        """A table's rows; none if it was never written. Postings come from their copy in ranges of terms if there is one."""
+        if name == "fragment_terms" and self._exists("postings_by_term"):
+            return self.spark.read.schema(schema.TABLES[name]).parquet(self.path("postings_by_term"))
         if not self._exists(name):
             return self.spark.createDataFrame([], schema.TABLES[name])
         return self.spark.read.schema(schema.TABLES[name]).parquet(self.path(name))
@@ -105,6 +107,7 @@ class Store:
         parsed have a file row and nothing else.
         """
         self.create()
+        self._delete("postings_by_term")
         keyed = first_by(sources, ["ecosystem", "name", "version", "path"], [F.col("ordinal"), F.xxhash64("source")]).select(
             "*", F.xxhash64("ecosystem", "name").alias("package_id"), F.xxhash64("ecosystem", "name", "version").alias("package_version_id"),
             F.xxhash64("ecosystem", "name", "version", "path").alias("file_id"),
@@ -122,6 +125,10 @@ class Store:
         self._replace_versions("files", keyed.join(got.select("file_id", "ast", comments.alias("comments_text")), "file_id").select(
             F.col("file_id").alias("id"), "package_id", "package_version_id", "path", "source", "ast", "comments_text", text.identifier_tokens(F.col("source")).alias("identifier_tokens"), F.sha2("source", 256).alias("sha256"),
         ))
+        words = keyed.select("file_id", "package_id", "package_version_id", text.words_of(F.col("source")).alias("w"))
+        counted = words.select("file_id", "package_id", "package_version_id", F.explode("w").alias("w")).groupBy("file_id", "package_id", "package_version_id", F.xxhash64("w").alias("term_id")).agg(F.count("*").cast("int").alias("tf"))
+        self._replace_versions("file_terms", counted.sortWithinPartitions("package_version_id", "term_id", "file_id"))
+        self._replace_versions("file_lengths", words.select("file_id", "package_id", "package_version_id", F.size("w").alias("len")))
         scope = ["package_id", "package_version_id", "file_id"]
         frag = got.select(*scope, "path", F.explode("fragments").alias("f")).select(*scope, "path", "f.*")
         content = F.sha2(F.concat_ws("|", F.col("package_version_id").cast("string"), "path", F.col("line").cast("string"), "exact_hash"), 256)
@@ -129,7 +136,7 @@ class Store:
         frag = frag.withColumn("id", F.xxhash64("content_hash"))
         self._replace_versions("fragments", frag)
         post = frag.select(F.col("id").alias("fragment_id"), "package_version_id", F.explode("terms").alias("term")).distinct()
-        self._replace_versions("fragment_terms", post.select(F.xxhash64("term").alias("term_id"), "fragment_id", "package_version_id").repartition("package_version_id").sortWithinPartitions("package_version_id", "term_id", "fragment_id"))
+        self._replace_versions("fragment_terms", post.select(F.xxhash64("term").alias("term_id"), "fragment_id", "package_version_id").repartition("package_version_id", F.pmod("term_id", F.lit(16))).sortWithinPartitions("package_version_id", "term_id", "fragment_id"))
         self._append_new("terms", post.select("term").distinct().select(F.xxhash64("term").alias("id"), "term"))
         owners = frag.select(F.col("file_id").alias("o_file"), F.col("ordinal").alias("o_ordinal"), F.col("id").alias("fragment_id"))
 
@@ -174,28 +181,39 @@ class Store:
         if not fs.rename(new, old):
             raise RuntimeError(f"can't put {table} in place")
         fs.delete(back, True)
-        self.spark.catalog.clearCache()
+        self.spark.catalog.refreshByPath(self.path(table))
+
+    def _delete(self, *tables: str) -> None:
+        for t in tables:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(t))
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def remove_version(self, package_version_id: int) -> None:
         """Deletes a version that isn't complete: its postings, facts, fragments and files, then itself."""
         rows = self.table("package_versions").where(F.col("id") == package_version_id).collect()
         if rows and rows[0]["index_state"] == "complete":
             raise ValueError("a complete version stays")
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for t in ("fragment_terms", "call_edges", "graph_nodes", "references", "definitions", "comments", "fragments", "files"):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.path(t)}/package_version_id={package_version_id}")
-            p.getFileSystem(conf).delete(p, True)
+        self._delete("postings_by_term", *(f"{t}/package_version_id={package_version_id}" for t in schema.BY_VERSION))
         self._swap("package_versions", self.table("package_versions").where(F.col("id") != package_version_id))
 
     def cluster_postings(self, partitions: int = 8) -> None:
-        """A second copy of the postings in ranges of terms, for look-ups over all versions."""
+        """A second copy of the postings in ranges of terms, which look-ups read until the next change of the index."""
         from codequarry.operators.postings import clustered
 
+        self._delete("postings_by_term")
         clustered(self.table("fragment_terms"), partitions).write.mode("overwrite").parquet(self.path("postings_by_term"))
 
     def compact(self, table: str, files: int = 1) -> None:
-        """A table without versions in fewer files, swapped in when written."""
-        self._swap(table, self.table(table).coalesce(files))
+        """A table in fewer files, of each version if it has versions; put in place when written."""
+        if table not in schema.BY_VERSION:
+            return self._swap(table, self.table(table).coalesce(files))
+        part = next(c for c in ("id", "fragment_id", "file_id") if c in _columns(table))
+        staged = f"_compacted_{table}"
+        rows = self.spark.read.schema(schema.TABLES[table]).parquet(self.path(table))
+        rows.write.mode("overwrite").parquet(self.path(staged))
+        rows = self.spark.read.schema(schema.TABLES[table]).parquet(self.path(staged))
+        self._replace_versions(table, rows.repartition("package_version_id", F.pmod(part, F.lit(files))))
+        self._delete(staged)
 
     def pending(self) -> DataFrame:
         return self.table("package_versions").where("index_state <> 'complete'")

@@ -1,8 +1,8 @@
-"""The twelve tables of an index, and the whitelist of fields that queries may name."""
+"""The fourteen tables of an index, and the whitelist of fields that queries may name."""
 
 from __future__ import annotations
 
-FORMAT_VERSION, PARSER_VERSION = 1, 1
+FORMAT_VERSION, PARSER_VERSION = 2, 2
 
 _SCOPE = "package_id long, package_version_id long, file_id long"
 _SYMBOL = f"id long, {_SCOPE}, fragment_id long, kind string, module string, name string, arity int, qualified_name string, line int, column int"
@@ -12,6 +12,8 @@ TABLES = {
     "packages": "id long, ecosystem string, name string, metadata map<string,string>",
     "package_versions": "id long, package_id long, version string, source_ref string, checksum string, index_state string, metadata map<string,string>",
     "files": "id long, package_id long, package_version_id long, path string, source string, ast string, comments_text string, identifier_tokens string, sha256 string",
+    "file_terms": f"{_SCOPE}, term_id long, tf int",
+    "file_lengths": f"{_SCOPE}, len int",
     "terms": "id long, term string",
     "fragment_terms": "term_id long, fragment_id long, package_version_id long",
     "fragments": f"id long, {_SCOPE}, ordinal int, content_hash string, kind string, module string, name string, arity int, line int, end_line int, last_line int, mass int, exact_hash string, sub_hashes array<long>, ast string",
@@ -22,7 +24,7 @@ TABLES = {
     "call_edges": f"id long, {_SCOPE}, caller_node_id long, callee_node_id long, call_site_fragment_id long, caller_qualified_name string, callee_qualified_name string, line int, column int, metadata map<string,string>",
 }
 #: Tables stored by version, so that indexing a version again replaces its part.
-BY_VERSION = ("files", "fragments", "fragment_terms", "comments", "definitions", "references", "graph_nodes", "call_edges")
+BY_VERSION = ("files", "file_terms", "file_lengths", "fragments", "fragment_terms", "comments", "definitions", "references", "graph_nodes", "call_edges")
 
 _SYMBOL_FIELDS = ("id", "package_id", "package_version_id", "file_id", "fragment_id", "kind", "module", "name", "arity", "qualified_name", "line", "column")
 FIELDS = {
