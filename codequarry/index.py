@@ -175,12 +175,12 @@ class Index:
 
     def _fragment_at(self, files: DataFrame, mode: str) -> DataFrame:
         """files (file_id, path, line, ...) with the fragment of each line: the smallest around it, or the file's first."""
-        f = self.table("fragments").select(F.col("id").alias("fragment_id"), F.col("file_id").alias("f_file"), "kind", "module", "name", "arity", F.col("line").alias("f_line"), F.coalesce("end_line", "last_line").alias("f_end"), "mass")
+        f = self.table("fragments").select(F.col("id").alias("fragment_id"), F.col("file_id").alias("f_file"), "kind", "module", "name", "arity", F.col("line").alias("f_line"), F.coalesce("end_line", "last_line").alias("f_end"), "mass", "ordinal")
         if mode == "first":
-            f = first_by(f, ["f_file"], [F.col("f_line"), F.col("fragment_id")])
+            f = first_by(f, ["f_file"], [F.col("f_line"), F.col("ordinal"), F.col("fragment_id")]).drop("ordinal")
             return files.join(f, F.col("file_id") == F.col("f_file"), "left").drop("f_file", "f_line", "f_end")
         joined = files.join(f, (F.col("file_id") == F.col("f_file")) & within(F.col("line"), F.col("f_line"), F.col("f_end")), "left")
-        return first_by(joined, ["file_id", "line", "column"], [F.col("mass").asc_nulls_last(), F.col("fragment_id")]).drop("f_file", "f_line", "f_end")
+        return first_by(joined, ["file_id", "line", "column"], [F.col("mass").asc_nulls_last(), F.col("fragment_id")]).drop("f_file", "f_line", "f_end", "ordinal")
 
     def _located(self, rows: DataFrame, function, value: str, skip: int, limit: int, mode: str) -> DataFrame:
         def run(batches):

@@ -57,8 +57,17 @@ def associated(root: DataFrame, facts: Sequence[tuple[DataFrame, str, str]], *,
     return out.where(F.col(pair[0]) == F.col(pair[1])) if pair else out
 
 
-def enclosing_latest(points: DataFrame, intervals: DataFrame, *, key: tuple[str, str], start: str, end: str, point: str, point_id: str, value: str) -> DataFrame:
-    """Each point with value of the interval around it that begins last."""
-    on = (F.col(key[0]) == F.col(key[1])) & (F.col(point) > F.col(start)) & (F.col(point) <= F.coalesce(F.col(end), F.lit(999_999)))
+def enclosing_latest(points: DataFrame, intervals: DataFrame, *, key: tuple[str, str], start: str, end: str | None, point: str, point_id: str, value: str) -> DataFrame:
+    """Each point with value of the interval around it that begins last; of equal beginnings the greatest value. A null end is open.
+
+    With end None all intervals are open: then no point meets more than one, and one sort of both sides by key and place does.
+    """
+    if end is None:
+        side = lambda k, place, is_point, id_, v: [F.col(k).alias("k"), F.col(place).alias("place"), F.lit(is_point).alias("rank"), id_.alias(point_id), v.alias(value)]
+        both = points.select(*side(key[0], point, 0, F.col(point_id), F.lit(None))).unionByName(intervals.select(*side(key[1], start, 1, F.lit(None), F.col(value))))
+        order = Window.partitionBy("k").orderBy("place", "rank", F.col(value).asc_nulls_first())  # points come before what begins at their place
+        last = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return both.select("rank", point_id, last.alias(value)).where("rank = 0").select(point_id, value)
+    on = (F.col(key[0]) == F.col(key[1])) & (F.col(point) > F.col(start)) & (F.col(end).isNull() | (F.col(point) <= F.col(end)))
     joined = points.join(intervals, on, "left")
-    return joined.groupBy(point_id).agg(F.max_by(value, start).alias(value))
+    return joined.groupBy(point_id).agg(F.max_by(value, F.struct(start, value)).alias(value))

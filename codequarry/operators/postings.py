@@ -13,9 +13,12 @@ def dictionary(terms: DataFrame, term: str = "term") -> DataFrame:
     return terms.select(F.col(term).alias("term")).where("term IS NOT NULL").distinct().select(F.xxhash64("term").alias("term_id"), "term")
 
 
-def postings(docs: DataFrame, doc_id: str, terms: Column) -> DataFrame:
-    """Distinct (term, doc) pairs of an array of terms a document."""
-    return docs.select(F.explode(F.array_distinct(terms)).alias("term"), F.col(doc_id)).distinct()
+def postings(docs: DataFrame, doc_id: str, terms: Column, wanted: Sequence | None = None) -> DataFrame:
+    """(term, doc) pairs of an array of terms a document, each once if ids are unique. wanted: no others become rows."""
+    each = F.array_distinct(terms)
+    if wanted is not None:
+        each = F.array_intersect(each, F.array(*[F.lit(t) for t in wanted]))
+    return docs.select(F.explode(each).alias("term"), F.col(doc_id))
 
 
 def clustered(post: DataFrame, partitions: int, term: str = "term_id", doc: str = "fragment_id") -> DataFrame:
@@ -52,7 +55,7 @@ def document_frequency(post: DataFrame, doc: str, term: str = "term") -> DataFra
 def containing_groups(post: DataFrame, groups: DataFrame, doc: str, term: str = "term") -> DataFrame:
     """(group, doc) for each group all of whose terms the document has. groups: group, term."""
     size = groups.groupBy("group").agg(F.countDistinct(term).alias("size"))
-    hit = post.join(groups, term).groupBy("group", doc).agg(F.countDistinct(term).alias("n"))
+    hit = post.join(groups.distinct(), term).groupBy("group", doc).agg(F.countDistinct(term).alias("n"))
     return hit.join(F.broadcast(size) if groups.limit(10_001).count() <= 10_000 else size, "group").where("n = size").select("group", doc)
 
 

@@ -13,12 +13,13 @@ from codequarry.plans.compiler import verified
 from codequarry.plans.model import Predicate
 from codequarry.plans.twins import query, read
 
-_CALLS = ("Enum.map(x, 1)", "String.trim(x)", "x |> Enum.map(2) |> Enum.uniq()")
+#: Bodies by the part's size: remote calls, a pipe, and local calls whose names types have too.
+_CALLS = ("Enum.map(x, 1)", "String.trim(x)", "x |> Enum.map(2) |> Enum.uniq()", "map(x, 1)", "list(x, 2)")
 
 
 def _sources(spark, d):
     p = read(spark, d, "part")
-    call = F.element_at(F.array(*[F.lit(c) for c in _CALLS]), (F.col("p_size") % 3 + 1).cast("int"))
+    call = F.element_at(F.array(*[F.lit(c) for c in _CALLS]), (F.col("p_size") % 5 + 1).cast("int"))
     head = F.concat(F.lit("defmodule Part"), F.col("p_partkey"), F.lit(" do\n  def run(x) do\n    "))
     tail = F.concat(F.lit("\n  end\n\n  def other(y, z) do\n    # note "), F.col("p_partkey"), F.lit("\n    {:ok, y, z}\n  end\nend\n"))
     return p.select(F.col("p_partkey").cast("string").alias("path"), F.concat(head, call, tail).alias("source"))
@@ -46,7 +47,7 @@ def fragment_extract(spark, d):
     return _rows(spark, d, "fragments").where("kind IN ('module', 'def')").select("p_partkey", "kind", "name", "arity", "line", "end_line")
 
 
-@query("SELECT p_partkey, 'run' AS name FROM part WHERE p_size % 3 <> 1")
+@query("SELECT p_partkey, 'run' AS name FROM part WHERE p_size % 5 IN (0, 2)")
 def structural_contains(spark, d):
     """Functions with a call within; a pipe is a call."""
     p = [Predicate("matches", "f", "def _ do ... end"), Predicate("contains", "f", "Enum.map(_, _)")]
@@ -59,10 +60,10 @@ def structural_matches(spark, d):
     return _matching(spark, d, [Predicate("matches", "f", match.compiled("def other(_, _) do ... end"))]).select("p_partkey", "name")
 
 
-@query("""SELECT p_partkey, unnest(CASE p_size % 3 WHEN 0 THEN ['Enum.map/2'] WHEN 1 THEN ['String.trim/1'] ELSE ['Enum.map/2', 'Enum.uniq/1'] END) AS qualified_name, 3 AS line FROM part""")
+@query("""SELECT p_partkey, unnest(CASE p_size % 5 WHEN 0 THEN ['Enum.map/2'] WHEN 1 THEN ['String.trim/1'] WHEN 2 THEN ['Enum.map/2', 'Enum.uniq/1'] WHEN 3 THEN ['map/2'] ELSE ['list/2'] END) AS qualified_name, 3 AS line FROM part""")
 def reference_extract(spark, d):
-    """References to functions of other modules."""
-    return _rows(spark, d, "references").where("kind = 'remote_call'").select("p_partkey", "qualified_name", "line")
+    """Calls of other modules' functions and of a module's own, also of such as are named like types."""
+    return _rows(spark, d, "references").where("kind IN ('remote_call', 'local_call')").select("p_partkey", "qualified_name", "line")
 
 
 @query("""SELECT p_partkey, unnest(['Part' || p_partkey || '.run/1', 'Part' || p_partkey || '.other/2']) AS qualified_name, unnest([2, 6]) AS line FROM part""")
@@ -77,7 +78,7 @@ def comment_extract(spark, d):
     return _rows(spark, d, "comments").select("p_partkey", "text", "line", "column")
 
 
-@query("""SELECT p_partkey, 'Part' || p_partkey || '.run/1' AS caller, unnest(CASE p_size % 3 WHEN 0 THEN ['Enum.map/2'] WHEN 1 THEN ['String.trim/1'] ELSE ['Enum.map/2', 'Enum.uniq/1'] END) AS callee FROM part""")
+@query("""SELECT p_partkey, 'Part' || p_partkey || '.run/1' AS caller, unnest(CASE p_size % 5 WHEN 0 THEN ['Enum.map/2'] WHEN 1 THEN ['String.trim/1'] WHEN 2 THEN ['Enum.map/2', 'Enum.uniq/1'] WHEN 3 THEN ['Part' || p_partkey || '.map/2'] ELSE ['Part' || p_partkey || '.list/2'] END) AS callee FROM part""")
 def call_graph_extract(spark, d):
     """Callers and callees."""
     return _rows(spark, d, "edges").select("p_partkey", "caller", "callee")

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codequarry import reports
 from codequarry.functions import text as T
+from codequarry.index import shard_of
 from codequarry.operators import audits, joins, paging, postings
+from codequarry.sources import files
 
 QUERIES = {}
 ORACLES = {}
@@ -33,14 +36,11 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def _intervals(ev: DataFrame, kind: str = "signup", p: str = "o") -> DataFrame:
-    """Rows of one kind with the time of their key's next one (null: open)."""
+    """Rows of one kind with the last moment before their key's next one (null: open)."""
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     out = ev.where(F.col("event_type") == kind)
-    return out.select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("ts").alias(f"{p}_ts"), F.lead("ts").over(w).alias(f"{p}_end"))
-
-
-def _in(point: str, p: str = "o") -> Column:
-    return (F.col(point) >= F.col(f"{p}_ts")) & (F.col(f"{p}_end").isNull() | (F.col(point) < F.col(f"{p}_end")))
+    last = F.lead("ts").over(w) - F.expr("INTERVAL 1 MICROSECOND")  # the last point within
+    return out.select(F.col("event_id").alias(f"{p}_id"), F.col("user_id").alias(f"{p}_user"), F.col("ts").alias(f"{p}_ts"), last.alias(f"{p}_last"))
 
 
 _OPEN = """o AS (SELECT event_id AS o_id, user_id AS o_user, ts AS o_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o_end
@@ -53,8 +53,7 @@ def containment_join(spark, d):
     """Facts within intervals of the same key."""
     ev = read(spark, d, "events")
     facts = ev.where("event_type <> 'signup'").select("event_id", "user_id", "ts", "event_type")
-    o = _intervals(ev)
-    return o.join(facts, (F.col("o_user") == F.col("user_id")) & _in("ts")).select("o_id", "o_user", "event_id", "event_type")
+    return joins.containment_join(_intervals(ev), facts, key=("o_user", "user_id"), start="o_ts", end="o_last", point="ts").select("o_id", "o_user", "event_id", "event_type")
 
 
 @query(f"""WITH {_OPEN}, n AS (SELECT * FROM o UNION ALL SELECT -1 - user_id, user_id, min(ts), NULL FROM events GROUP BY user_id)
@@ -63,12 +62,11 @@ SELECT event_id, o_id FROM (SELECT e.event_id, o_id, row_number() OVER (PARTITIO
 def smallest_enclosing(spark, d):
     """The smallest of nested intervals that holds a fact."""
     ev = read(spark, d, "events")
-    whole = ev.groupBy("user_id").agg(F.min("ts").alias("o_ts")).select((-1 - F.col("user_id")).alias("o_id"), F.col("user_id").alias("o_user"), "o_ts", F.lit(None).cast("timestamp").alias("o_end"))
+    whole = ev.groupBy("user_id").agg(F.min("ts").alias("o_ts")).select((-1 - F.col("user_id")).alias("o_id"), F.col("user_id").alias("o_user"), "o_ts", F.lit(None).cast("timestamp").alias("o_last"))
     n = _intervals(ev).unionByName(whole)
     facts = ev.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    held = facts.join(n, (F.col("o_user") == F.col("user_id")) & _in("ts"))
-    size = (F.unix_micros("o_end") - F.unix_micros("o_ts")).asc_nulls_last()
-    return joins.first_by(held, ["event_id"], [size, F.desc("o_ts"), F.col("o_id")]).select("event_id", "o_id")
+    size, tie = F.unix_micros("o_last") - F.unix_micros("o_ts"), F.struct((-F.unix_micros("o_ts")).alias("t"), F.col("o_id"))
+    return joins.smallest_enclosing(facts, n, key=("user_id", "o_user"), start="o_ts", end="o_last", point="ts", fact_id="event_id", size=size, tie=tie).select("event_id", "o_id")
 
 
 @query(f"""WITH {_OPEN} SELECT o_id, e.event_id AS purchase_id, r.event_id AS error_id FROM o
@@ -76,11 +74,10 @@ JOIN events e ON {_HELD} AND e.event_type = 'purchase' JOIN events r ON {_HELD.r
 WHERE CAST(e.ts AS DATE) = CAST(r.ts AS DATE)""")
 def multi_assoc_join(spark, d):
     """Two associations of one root, paired by an equality besides."""
-    ev, o = read(spark, d, "events"), None
-    o = _intervals(ev)
-    p = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("pu"), F.col("ts").alias("pt"))
-    r = ev.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("ru"), F.col("ts").alias("rt"))
-    both = o.join(p, (F.col("o_user") == F.col("pu")) & _in("pt")).join(r, (F.col("o_user") == F.col("ru")) & _in("rt") & (F.to_date("pt") == F.to_date("rt")))
+    ev = read(spark, d, "events")
+    p = ev.where("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("pu"), F.col("ts").alias("pt"), F.to_date("ts").alias("p_day"))
+    r = ev.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("ru"), F.col("ts").alias("rt"), F.to_date("ts").alias("r_day"))
+    both = joins.associated(_intervals(ev), [(p, "pu", "pt"), (r, "ru", "rt")], key="o_user", start="o_ts", end="o_last", pair=("p_day", "r_day"))
     return both.select("o_id", "purchase_id", "error_id")
 
 
@@ -118,8 +115,8 @@ def _terms(c: str = "text") -> Column:
     return F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def _post(spark, d):
-    return postings.postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms())
+def _post(spark, d, wanted=None):
+    return postings.postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id", _terms(), wanted)
 
 
 @query(f"WITH {_POST} SELECT doc_id, term FROM p")
@@ -128,16 +125,22 @@ def posting_build(spark, d):
     return _post(spark, d).select("doc_id", "term")
 
 
+@query(f"WITH {_POST} SELECT DISTINCT term FROM p")
+def term_dictionary(spark, d):
+    """K3: the terms, each once; their ids are hashes."""
+    return postings.dictionary(_post(spark, d)).select("term")
+
+
 @query(f"WITH {_POST} SELECT doc_id FROM p WHERE term = 'the' INTERSECT SELECT doc_id FROM p WHERE term = 'and' INTERSECT SELECT doc_id FROM p WHERE term = 'of'")
 def posting_intersect(spark, d):
     """Documents with all terms."""
-    return postings.intersect(_post(spark, d), "doc_id", ["the", "and", "of"])
+    return postings.intersect(_post(spark, d, ["the", "and", "of"]), "doc_id", ["the", "and", "of"])
 
 
 @query(f"WITH {_POST} SELECT DISTINCT doc_id FROM p WHERE term IN ('idiot', 'license', 'password')")
 def posting_union(spark, d):
     """Documents with any term."""
-    return postings.union(_post(spark, d), "doc_id", ["idiot", "license", "password"])
+    return postings.union(_post(spark, d, ["idiot", "license", "password"]), "doc_id", ["idiot", "license", "password"])
 
 
 @query(f"WITH {_POST} SELECT term, count(*) AS df FROM p GROUP BY term")
@@ -154,7 +157,7 @@ _VALUES = ", ".join(f"('{g}', '{t}')" for g, t in _GROUPS)
 SELECT g.grp AS "group", doc_id FROM p JOIN g USING (term) JOIN s ON s.grp = g.grp GROUP BY g.grp, doc_id, n HAVING count(DISTINCT term) = n""")
 def containment_having(spark, d):
     """Groups of terms that documents hold whole."""
-    return postings.containing_groups(_post(spark, d), spark.createDataFrame(_GROUPS, '"group" string, term string'.replace('"', "`")), "doc_id").select("group", "doc_id")
+    return postings.containing_groups(_post(spark, d, sorted({t for _, t in _GROUPS})), spark.createDataFrame(_GROUPS, '"group" string, term string'.replace('"', "`")), "doc_id").select("group", "doc_id")
 
 
 @query(f"""WITH {_POST}, f AS (SELECT term, count(*) AS df FROM p GROUP BY term), g(grp, term) AS (VALUES {_VALUES}),
@@ -170,7 +173,7 @@ def anchor_choice(spark, d):
 FROM p GROUP BY doc_id HAVING count(*) FILTER (term IN ('the', 'and')) = 2""")
 def candidate_score(spark, d):
     """Required and optional terms."""
-    return postings.candidate_scores(_post(spark, d), "doc_id", ["the", "and"], ["with", "from", "this"])
+    return postings.candidate_scores(_post(spark, d, ["the", "and", "with", "from", "this"]), "doc_id", ["the", "and"], ["with", "from", "this"])
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size = 10")
@@ -264,13 +267,18 @@ def offset_page(spark, d):
     return paging.offset_page(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 40, 20)
 
 
-@query("""SELECT p_partkey, p_name FROM part ORDER BY CASE WHEN p_brand = 'Brand#2' THEN 0 WHEN p_brand = 'Brand#4' THEN 1 ELSE 2 END,
-CASE WHEN p_type LIKE '%ECON%' THEN 0 WHEN p_type LIKE '%SMALL%' THEN 1 ELSE 2 END, p_name, p_partkey LIMIT 30""")
+_KIND = "CASE p_size % 4 WHEN 0 THEN 'def' WHEN 1 THEN 'module' WHEN 2 THEN 'expression' ELSE 'other' END"
+_PATH = "CASE p_size % 6 WHEN 0 THEN 'lib/' WHEN 1 THEN 'apps/src/' WHEN 2 THEN 'test/' WHEN 3 THEN 'bench/' ELSE 'x/' END || p_brand || CASE p_size % 3 WHEN 0 THEN '.exs' WHEN 1 THEN '.ex' ELSE '.md' END"
+
+
+@query(f"""SELECT p_partkey, kind, path FROM (SELECT p_partkey, p_size, {_KIND} AS kind, {_PATH} AS path FROM part) ORDER BY p_size DESC,
+CASE kind WHEN 'def' THEN 0 WHEN 'module' THEN 6 WHEN 'expression' THEN 9 ELSE 8 END,
+CASE WHEN starts_with(path, 'lib/') THEN 0 WHEN contains(path, '/src/') THEN 1 WHEN starts_with(path, 'test/') THEN 5 WHEN starts_with(path, 'bench') THEN 6 WHEN ends_with(path, '.exs') THEN 7 WHEN ends_with(path, '.ex') THEN 2 ELSE 4 END,
+path, p_size, p_partkey LIMIT 60""")
 def ranked_topk(spark, d):
-    """Rank chains, then one global top-k."""
-    brand = F.when(F.col("p_brand") == "Brand#2", 0).when(F.col("p_brand") == "Brand#4", 1).otherwise(2)
-    kind = F.when(F.col("p_type").contains("ECON"), 0).when(F.col("p_type").contains("SMALL"), 1).otherwise(2)
-    return read(spark, d, "part").orderBy(brand, kind, "p_name", "p_partkey").limit(30).select("p_partkey", "p_name")
+    """Score, kind, place of the path, path, line, id; then one global top-k."""
+    hits = read(spark, d, "part").select("p_partkey", "p_size", F.expr(_KIND).alias("kind"), F.expr(_PATH).alias("path"))
+    return paging.ranked(hits, score="p_size", line="p_size", id_="p_partkey", limit=60).select("p_partkey", "kind", "path")
 
 
 @query("SELECT n_nationkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -340,33 +348,33 @@ def finding_dedup(spark, d):
     return audits.dedup(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_suppkey"], order).select("l_returnflag", "l_linestatus", "l_suppkey", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY n DESC, l_returnflag")
 def finding_counts(spark, d):
     """A12, A13"""
-    return read(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return audits.counted(read(spark, d, "lineitem"), "l_returnflag")
 
 
 @query("""SELECT s_name, l_orderkey, l_linenumber FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_name = (SELECT max(s_name) FROM supplier) OR contains(lower(s_name), '000000001')""")
 def callers(spark, d):
     """Edges by the name of one end."""
     s = read(spark, d, "supplier")
-    last = s.agg(F.max("s_name")).first()[0]
-    return s.where((F.col("s_name") == last) | T.icontains(F.col("s_name"), "000000001")).join(read(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "l_orderkey", "l_linenumber")
+    last = s.agg(F.max("s_name").alias("last"))  # one row
+    named = s.join(F.broadcast(last), (F.col("s_name") == F.col("last")) | T.icontains(F.col("s_name"), "000000001"))
+    return named.join(read(spark, d, "lineitem"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey <= 5")
+@query("SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'blue')")
 def callees(spark, d):
     """The other end."""
-    p = read(spark, d, "part").where("p_partkey <= 5").select("p_partkey", "p_name")
+    p = read(spark, d, "part").where(T.icontains(F.col("p_name"), "Blue")).select("p_partkey", "p_name")
     return read(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_name").distinct()
 
 
-@query("SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS files FROM documents GROUP BY source")
+@query("""WITH b AS (SELECT source, doc_id // 1000 AS b, sha256(string_agg(doc_id || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS d, count(*) AS n FROM documents GROUP BY ALL)
+SELECT source, sha256(string_agg(d, chr(10) ORDER BY b)) AS fingerprint, sum(n)::BIGINT AS files FROM b GROUP BY source""")
 def hydrate_fingerprint(spark, d):
-    """A snapshot's fingerprint."""
-    rows = read(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha"))
-    w = F.array_sort(F.collect_list(F.struct("doc_id", "sha")))
-    return rows.groupBy("source").agg(w.alias("a"), F.count("*").alias("files")).select("source", F.sha2(F.array_join(F.transform("a", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["sha"])), "\n"), 256).alias("fingerprint"), "files")
+    """A snapshot's fingerprint, by blocks so that no group is gathered whole."""
+    return reports.fingerprint_by(read(spark, d, "documents").select("source", "doc_id", F.sha2("text", 256).alias("sha")), "source", "doc_id", "sha")
 
 
 @query("""WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders)
@@ -402,27 +410,67 @@ def dimension_joins(spark, d):
 @query("""SELECT event_type, count(*) AS calls, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY event_type""")
 def stage_timings(spark, d):
     """A16"""
-    v = F.col("value")
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"))
+    return reports.timings_by(read(spark, d, "events"), "event_type", "value")
 
 
-@query("SELECT c_mktsegment, n_name, string_agg(c_name, ',' ORDER BY c_name) AS names FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+@query("SELECT c_mktsegment, n_name, c_name, row_number() OVER (PARTITION BY c_mktsegment, n_name ORDER BY c_name, c_custkey) AS number FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def result_groups(spark, d):
-    """Results grouped for display, in order."""
+    """Results grouped for display: each row with its number in its group."""
     j = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("c_mktsegment", "n_name").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("names"))
+    return reports.numbered_hits(j, ["c_mktsegment", "n_name"], ["c_name", "c_custkey"]).select("c_mktsegment", "n_name", "c_name", "number")
+
+
+_VERSIONS = "list_value((p_partkey % 7) || '.' || (p_size % 20) || '.0', (p_size % 11) || '.10.' || (p_partkey % 13), '0.9.9')"
+
+
+def _packages(spark, d):
+    v = F.expr("array(concat(p_partkey % 7, '.', p_size % 20, '.0'), concat(p_size % 11, '.10.', p_partkey % 13), '0.9.9')")
+    return read(spark, d, "part").select(F.concat("p_name", F.lit("_"), "p_partkey").alias("name"), v.alias("versions"), F.col("p_retailprice").alias("downloads"))
 
 
-@query("""SELECT user_id, arg_max(event_type, event_id) AS latest FROM events GROUP BY user_id""")
+@query(f"""SELECT name, version FROM (SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY split_part(version, '.', 1)::INT DESC, split_part(version, '.', 2)::INT DESC, split_part(version, '.', 3)::INT DESC) AS rn
+FROM (SELECT p_name || '_' || p_partkey AS name, unnest({_VERSIONS}) AS version FROM part)) WHERE rn = 1""")
 def latest_version(spark, d):
-    """S3: the latest of each name."""
-    return read(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest"))
+    """The latest version of each name."""
+    return files.latest(_packages(spark, d))
+
+
+@query(f"SELECT p_name || '_' || p_partkey AS name, unnest({_VERSIONS}) AS version FROM part")
+def all_versions(spark, d):
+    """S5"""
+    return files.all_versions(_packages(spark, d))
+
+
+@query("SELECT p_name || '_' || p_partkey AS name, p_retailprice AS downloads FROM part ORDER BY p_retailprice DESC, name LIMIT 300")
+def top_packages(spark, d):
+    """The packages most often downloaded."""
+    return files.top(_packages(spark, d), 300).select("name", "downloads")
+
+
+@query(r"""SELECT page_id FROM pages WHERE (ends_with(url, '.ex') OR ends_with(url, '.exs') OR ends_with(url, '.html')) AND NOT contains(url, '/._') AND strlen(html) <= 5000000 AND ends_with(replace(url, '.html', '.ex'), '.ex')""")
+def source_filter(spark, d):
+    """Paths and contents that are sources."""
+    rows = read(spark, d, "pages").withColumn("path", F.replace(F.col("url"), F.lit(".html"), F.lit(".ex")))
+    return rows.where(files.source_filter(F.col("path"), F.col("html").cast("binary"))).select("page_id")
+
+
+@query("SELECT p_partkey, p_brand || '.' || p_name || CASE WHEN p_size % 2 = 0 THEN '/' || p_size ELSE '' END AS qualified FROM part WHERE p_partkey % 3 > 0 UNION ALL SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN '/' || p_size ELSE '' END FROM part WHERE p_partkey % 3 = 0")
+def qualified_names(spark, d):
+    """F13"""
+    module, arity = F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")), F.when(F.col("p_size") % 2 == 0, F.col("p_size"))
+    return read(spark, d, "part").select("p_partkey", T.qualified_name(module, F.col("p_name"), arity).alias("qualified"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(doc_id % 5 + 1 - 2, 1):doc_id % 5 + 1 + 2], chr(10)) AS lines FROM documents")
+def context_lines(spark, d):
+    """the lines around a line."""
+    return read(spark, d, "documents").select("doc_id", T.context(F.col("text"), (F.col("doc_id") % 5 + 1).cast("int")).alias("lines"))
 
 
 @query("SELECT p_partkey, p_partkey % 8 AS shard FROM part")
 def shard_assignment(spark, d):
     """K14"""
-    return read(spark, d, "part").select("p_partkey", F.pmod("p_partkey", F.lit(8)).alias("shard"))
+    return read(spark, d, "part").select("p_partkey", shard_of(F.col("p_partkey"), 8).alias("shard"))
 
 
 @query("SELECT 'part' AS \"table\", count(*) AS n FROM part UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'customer', count(*) FROM customer")
@@ -435,10 +483,11 @@ def table_counts(spark, d):
     return out
 
 
-@query("""SELECT page_id, html AS source, url FROM pages WHERE regexp_matches(url, '^https?://[^/]*/en/[^/]*$')""")
+@query("""SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]*/en/[^/]*$')""")
 def glob_filter(spark, d):
     """Path globs."""
-    return read(spark, d, "pages").where(F.col("url").rlike("^https?://[^/]*/en/[^/]*$")).select("page_id", F.col("html").alias("source"), "url")
+    path = F.regexp_replace("url", "^https?://", "")
+    return read(spark, d, "pages").where(path.rlike(T.glob_regex("*/en/*"))).select("page_id", "url")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, false AS "new" FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
@@ -482,8 +531,7 @@ def enclosing_latest(spark, d):
     ev = read(spark, d, "events")
     points = ev.where("event_type = 'view'").select("event_id", "user_id", "ts")
     o = ev.where("event_type = 'signup'").select(F.col("event_id").alias("o_id"), F.col("user_id").alias("o_user"), F.col("ts").alias("o_ts"))
-    held = points.join(o, (F.col("user_id") == F.col("o_user")) & (F.col("ts") > F.col("o_ts")), "left")
-    return held.groupBy("event_id").agg(F.max_by("o_id", F.struct("o_ts", "o_id")).alias("o_id"))
+    return joins.enclosing_latest(points, o, key=("user_id", "o_user"), start="o_ts", end=None, point="ts", point_id="event_id", value="o_id")
 
 
 @query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'blue') ORDER BY p_name, p_partkey""")
@@ -498,15 +546,11 @@ def comment_search(spark, d):
     return read(spark, d, "conversations").where(F.col("text").contains("the")).select("conv_id", "turn", "role", "text")
 
 
-@query("""SELECT o_orderpriority AS batch, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'F') AS error,
-coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F' AND o_totalprice > 300000), '') AS failures FROM orders GROUP BY o_orderpriority""")
+@query("""SELECT o_orderpriority AS batch, count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'P') AS skipped, count(*) FILTER (o_orderstatus = 'F') AS error FROM orders GROUP BY o_orderpriority""")
 def run_merge(spark, d):
-    """Outcomes of a run's parts summed, failures in order."""
-    is_ = lambda s: F.count(F.when(F.col("o_orderstatus") == s, 1))
-    failed = F.collect_list(F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000), F.col("o_orderkey")))
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("batch")).agg(
-        is_("O").alias("ok"), is_("P").alias("skipped"), is_("F").alias("error"), F.array_join(F.array_sort(failed).cast("array<string>"), ",").alias("failures")
-    )
+    """Outcomes of a run's parts summed; failures stay rows."""
+    status = F.when(F.col("o_orderstatus") == "O", "ok").when(F.col("o_orderstatus") == "P", "skipped").otherwise("error")
+    return reports.outcomes_by(read(spark, d, "orders").select(F.col("o_orderpriority").alias("batch"), status.alias("status")), "batch")
 
 
 @query("""SELECT doc_id, i AS line, 1 + list_sum(list_transform(parts[1:k], lambda x: length(x)))::BIGINT + (k - 1) * 8 AS "column" FROM (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from contextlib import contextmanager
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,35 @@ def counts_by(findings: DataFrame, column: str) -> DataFrame:
     return findings.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("value").asc_nulls_last())
 
 
+def outcomes_by(outcomes: DataFrame, part: str, status: str = "status") -> DataFrame:
+    """ok, skipped and error counts of each part of a run, one row a part."""
+    n = lambda s: F.count(F.when(F.col(status) == s, 1)).alias(s)
+    return outcomes.groupBy(part).agg(n("ok"), n("skipped"), n("error"))
+
+
+def timings_by(rows: DataFrame, stage: str, value: str) -> DataFrame:
+    """Calls, total, mean and most of a value by stage."""
+    v = F.col(value)
+    return rows.groupBy(stage).agg(F.count("*").alias("calls"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.max(v).alias("most"))
+
+
+def numbered_hits(hits: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Hits with their number within their group from 1: a grouping for display that gathers no group."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return hits.withColumn("number", F.row_number().over(w).cast("long"))
+
+
+def fingerprint_by(rows: DataFrame, group: str, key: str, sha: str, block: int = 1000) -> DataFrame:
+    """A digest of each group's keys and hashes: SHA-256 over blocks of consecutive keys, and over the blocks' digests in order.
+
+    key: a whole number, unique in its group. Only block digests of a group meet in one place.
+    """
+    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(sha))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["v"]), "\n"), 256)
+    blocks = rows.groupBy(group, F.floor(F.col(key) / block).alias("b")).agg(joined(F.struct(F.col(key).alias("k"), line.alias("v"))).alias("d"), F.count("*").alias("n"))
+    return blocks.groupBy(group).agg(joined(F.struct(F.col("b").alias("k"), F.col("d").alias("v"))).alias("fingerprint"), F.sum("n").alias("files"))
+
+
 def grouped_hits(hits: DataFrame, keys: Sequence[str] = ("package", "version", "path")) -> DataFrame:
     """One row a file with its hits in order of lines. For a page of hits: each group is gathered."""
     rest = [c for c in hits.columns if c not in keys]

@@ -248,3 +248,51 @@ def test_postings(spark):
         assert f(p, "fragment_id", [1, 9], "term_id").count() == 0
     d = audits.diff(p, p.where("term_id > 1"), ["term_id", "fragment_id"])
     assert {r["status"]: r["count"] for r in d.groupBy("status").count().collect()} == {"removed": 2, "unchanged": 3}
+
+
+def test_noise_is_told_by_name_and_arity():
+    from codequarry.functions import code, elixir
+
+    tree = elixir.parse("defmodule M do\n  alias A.B\n  def run(x) do\n    map(x, 1)\n    list(x, 2)\n    type(x)\n    other(x)\n    %User{name: :\\\\}\n  end\nend\n")
+    _, refs, edges = code.symbols(tree)
+    assert [r["qualified_name"] for r in refs if r["kind"] == "local_call"] == ["map/2", "list/2", "other/1"]
+    assert [e["callee_qualified_name"] for e in edges] == ["M.map/2", "M.list/2", "M.other/1"]
+    sets = code.symbol_sets(tree)
+    assert (sets["defs"], sets["modules"], sets["functions"], sets["aliases"], sets["structs"]) == (["M", "run/1"], ["M"], ["run"], ["A.B"], ["User"])
+    assert "\\\\" in sets["atoms"] and sets["refs"] == ["list/2", "map/2", "other/1"]
+    assert code.generated("lib/a.ex", "# DO NOT EDIT\n") and code.generated("lib/x.pb.ex", "") and not code.generated("lib/a.ex", "# by hand\n")
+
+
+def test_two_matches_on_one_line_are_two_findings(spark, tmp_path):
+    source = "defmodule A do\n  def f(x) do\n    {IO.inspect(x), IO.inspect(1), IO.inspect(x)}\n  end\nend\n"
+    ix = Index.build(spark, files.from_rows(spark, [("lib/a.ex", source)]), f"file://{tmp_path}/i", min_mass=1)
+    found = ix.audit({"io": ["IO.inspect(_)"]}).collect()
+    assert len(found) == 2 and len({r["fingerprint"] for r in found}) == 2 and {r["line"] for r in found} == {3}
+
+
+def test_text_search_reads_postings_and_explains(demo):
+    from codequarry.functions import text as T
+
+    assert T.inner_words('label = "some label"') == ["some"] or "some" in T.inner_words('label = "some label"')
+    assert T.inner_words("word") == [] and T.inner_words("a b-c d") == ["b", "c"]
+    said = demo.explain_text('label = "some label"')
+    assert said["strategy"] == "postings" and (said["files"], said["candidates"], said["verified"]) == (3, 1, 1)
+    assert demo.explain_text("def")["strategy"] == "scan"
+    assert demo.search_text('= "some label"').count() == 1 and demo.search_text("no such thing here").count() == 0
+    like = demo.explain_similar("def other(s) do\n  String.trim(s)\nend")
+    assert like["strategy"] == "subhash" and like["candidates"] <= like["fragments"] and like["verified"] >= 1
+    e = demo.explain("from(f in Fragment, where: matches(f, def _ do ... end), where: contains(f, Enum.map(...)))")
+    assert set(e["stages"]) == {"plan", "candidates", "verify"} and e["rejected"] == e["candidates"].value - e["verified"]
+
+
+def test_callers_have_pages_and_versions_compact(demo, spark, tmp_path):
+    every = [r["id"] for r in demo.search_callees("run").collect()]
+    assert every == [r["id"] for k in range(len(every)) for r in demo.search_callees("run", skip=k, limit=1).collect()] and len(every) > 1
+    rows = [(f"lib/{k}.ex", JOIN, {"name": n}) for k in range(3) for n in ("a", "b")]
+    ix = Index.build(spark, files.from_rows(spark, rows), f"file://{tmp_path}/i", min_mass=1)
+    before = sorted(map(str, ix.table("fragment_terms").collect()))
+    ix.store.compact("fragment_terms", 1)
+    assert sorted(map(str, ix.table("fragment_terms").collect())) == before
+    ix.store.cluster_postings(2)
+    assert sorted(map(str, ix.table("fragment_terms").select("term_id", "fragment_id", "package_version_id").collect())) == sorted(map(str, ix.spark.read.parquet(ix.store.path("fragment_terms")).select("term_id", "fragment_id", "package_version_id").collect()))
+    assert "postings_by_term" in str(ix.table("fragment_terms").inputFiles())

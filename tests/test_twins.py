@@ -5,7 +5,7 @@ import os
 import pytest
 from compare import SF, assert_same, connected
 
-from codequarry.plans import code_twins, twins
+from codequarry.plans import code_twins, index_twins, twins
 
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="needs the given tables")
 
@@ -37,4 +37,4 @@ def test_plans_are_the_ones_we_want(spark):
     assert "user_id" in joined and "NestedLoop" not in joined and "Python" not in joined
     structural = plan(spark, "structural_contains")
     assert structural.count("MapInArrow") == 1 and structural.index("MapInArrow") < structural.index("array_contains")
-    assert code_twins.query is twins.query
+    assert code_twins.query is index_twins.query is twins.query
