@@ -22,43 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codequarry.llm.common import ALNUM, LOWER_TABLE, buffers, mix, read, steps, word_hashes, word_spans
+from codequarry.llm.license_texts import SHORT_NOTICES, TEXTS
 from codequarry.ship import map_arrow
 
 SHINGLE, CONTAINMENT, MISSED = 5, 0.8, 1e-6
 _FACTORS = (np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
-#: Names and texts of templates: a constant of a few kilobytes.
-TEMPLATES = {
-    "mit-notice": "Released under the MIT License.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
-use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
-Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall
-be included in all copies or substantial portions of the Software.""",
-    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
-the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law
-or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
-CONDITIONS OF ANY KIND, either express or implied.""",
-    "gpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
-    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and
-the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-following disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
-compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
-non-commercial, and by any means.""",
-}
-#: Notices of fewer than five words.
-SHORT_NOTICES = {"all-rights-reserved-notice": "All rights reserved."}
-
 
 def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, end to end, and the rows' offsets."""
@@ -171,7 +140,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, id_col: st
     fewer than five words none but shorter templates. Repeated rows and rows with null ids each give their
     own. Without templates, or with an empty table, there are no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates.of(TEMPLATES | SHORT_NOTICES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(Templates.of(TEXTS | SHORT_NOTICES if templates is None else templates))
 
     def run(batches):
         t = shared.value

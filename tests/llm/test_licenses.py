@@ -33,12 +33,12 @@ def plain(rows, templates):
 
 def fixture(n=150):
     pick = random.Random(6)
-    names = list(licenses.TEMPLATES)
+    names = list(licenses.TEXTS)
     rows = []
     for i in range(n):
         w = [pick.choice(FILL) for _ in range(pick.randint(0, 300))]
         for _ in range(pick.randint(0, 2)):
-            t = licenses.TEMPLATES[pick.choice(names)].split()
+            t = licenses.TEXTS[pick.choice(names)].split()
             for _ in range(pick.randint(0, max(1, len(t) // 25))):
                 t[pick.randrange(len(t))] = pick.choice(FILL)
             k = pick.randint(0, len(w))
@@ -51,7 +51,7 @@ def test_finds_all_that_exact_containment_finds(spark):
     rows = fixture()
     got = licenses.scan(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
     got = sorted(((r["doc_id"], r["license"], round(r["containment"], 6), r["word"]) for r in got), key=str)
-    want = plain(rows, licenses.TEMPLATES)
+    want = plain(rows, licenses.TEXTS)
     assert got == want and len(want) > 80
 
 
@@ -63,7 +63,7 @@ def test_bands_keep_their_promise(least):
 
 def test_deep_in_a_very_long_text(spark):
     text = " ".join(FILL) * 200
-    whole = licenses.TEMPLATES["mit"]
+    whole = licenses.TEXTS["mit"]
     rows = [(1, text + " " + whole + " " + text), (2, text), (3, whole.upper().replace(",", " ;\n * "))]
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, "mit"), (3, "mit")}
@@ -85,3 +85,24 @@ def test_notices_of_fewer_than_five_words(spark):
     assert sorted(found) == [(1, notice, 1.0, 0), (2, notice, 1.0, 298), (7, notice, 1.0, 0), (7, "mit-notice", 1.0, 2)]
     own = licenses.scan(spark.createDataFrame(rows, SCHEMA), {"two": "rights reserved", "one": "Are", "none": "..."})
     assert sorted((r["doc_id"], r["license"]) for r in own.collect()) == [(1, "two"), (2, "two"), (3, "one"), (4, "two"), (7, "two")]
+
+
+def test_recall_of_planted_near_copies(spark):
+    pick = random.Random(11)
+    rows, planted = [], {}
+    for name, text in licenses.TEXTS.items():
+        t = text.split()
+        for k in range(20):
+            near = list(t)
+            for _ in range(len(t) // 60 if k else 0):  # a changed word costs five shingles
+                near[pick.randrange(len(near))] = pick.choice(FILL)
+            a, b = ([pick.choice(FILL) for _ in range(pick.randint(0, 400))] for _ in range(2))
+            planted[len(rows)] = name
+            rows.append((len(rows), " ".join(a + near + b)))
+    rows += [(10_000 + k, " ".join(pick.choice(FILL) for _ in range(500))) for k in range(100)]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    held = {(i, n) for i, n, _, _ in plain(rows, {n: licenses.TEXTS[n] for n in set(planted.values())})}
+    recall = len(got & {(i, n) for i, n in planted.items() if (i, n) in held}) / sum((i, n) in held for i, n in planted.items())
+    print(f"{len(rows)} documents, {len(held)} pairs by exact containment, recall of planted ones {recall:.4f}")
+    assert recall == 1.0 and got == held | {(i, n) for i, n in got if n == "all-rights-reserved-notice"} and all(i < 10_000 for i, _ in got)
+    assert sum((i, n) in held for i, n in planted.items()) >= 0.9 * len(planted)
