@@ -326,16 +326,21 @@ def query(spark, sf_dir: str) -> DataFrame:
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+b AS (SELECT row_number() OVER () AS b, item_id, {_WORDS} AS w FROM benchmark),
 win AS (
-  SELECT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)
+  SELECT b, item_id, i AS j, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS s
+  FROM (SELECT b, item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS i FROM b WHERE len(w) > 0)
 ), lens AS (SELECT DISTINCT n FROM win),
 place AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n),
-hit AS (SELECT p.r, p.i, p.n, win.item_id FROM place p JOIN win ON p.n = win.n AND array_to_string(p.w[p.i:p.i + p.n - 1], ' ') = win.s),
+hit AS (SELECT p.r, p.i, p.n, win.b, win.j, win.item_id FROM place p JOIN win ON p.n = win.n AND array_to_string(p.w[p.i:p.i + p.n - 1], ' ') = win.s),
 words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r),
+runs AS (
+  SELECT r, any_value(item_id)::VARCHAR AS item, min(i) - 1 AS begins, min(j) - 1 AS item_begins, max(i) - min(i) + any_value(n) AS many
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, b, i - j ORDER BY i) AS g FROM hit) GROUP BY r, b, i - j, g
+), best AS (SELECT DISTINCT ON (r) * FROM runs ORDER BY r, many DESC, begins, item, item_begins)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       coalesce(many, 0)::BIGINT AS longest_words, begins::BIGINT AS longest_at, item AS longest_item, item_begins::BIGINT AS longest_item_at
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
 """

@@ -41,6 +41,8 @@ def test_equals_brute_force_and_sql(spark):
         con.executemany(f"INSERT INTO {name} VALUES (?, ?)", table)
     sql = con.execute(f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({decontaminate.ORACLE}) ORDER BY ALL").fetchall()
     assert sql == [(i, w, h, len(x), brute.sha(",".join(x)), c) for i, w, h, x, c in want]
+    most = con.execute(f"SELECT doc_id, longest_words, longest_at, longest_item, longest_item_at FROM ({decontaminate.ORACLE}) ORDER BY ALL").fetchall()
+    assert most == sorted((r["doc_id"], *tuple(r)[-4:]) for r in got.collect())
 
 
 def test_many_blocks_give_the_same(spark, monkeypatch):
