@@ -2,7 +2,8 @@
 
 import hashlib
 
-from codequarry.functions import code, elixir
+from codequarry.functions import code, elixir, match
+from codequarry.index import Index
 from codequarry.operators import extract
 from codequarry.plans import code_twins, twins
 
@@ -46,3 +47,22 @@ def test_extraction_of_the_twins_has_an_exchange_before_python(spark):
 def test_replacing_facts_neither_sorts_nor_broadcasts(spark):
     plan = twins.fact_replace(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" not in plan and "Broadcast" not in plan
+
+
+def test_trees_of_unlike_sizes_are_not_aligned(monkeypatch):
+    small, large = elixir.parse("f(x)"), elixir.parse("f(" + ", ".join("abcdefghijkl") + ")")
+    exact = match.similarity(small, large)
+    monkeypatch.setattr(match, "edit_distance", None)
+    assert exact <= match.similarity(small, large, 0.9) < 0.9
+
+
+def test_sources_of_an_index_are_dealt_out_and_staged_once(spark, tmp_path):
+    rows = [(f"lib/{i}.ex", f"f({i})\nf({i})", "local", "a", "1.0.0", None, i) for i in range(64)]
+    few = spark.createDataFrame(rows, "path string, source string, ecosystem string, name string, version string, source_ref string, ordinal long").coalesce(1)
+    ix = Index.build(spark, few, f"file://{tmp_path}/ix", min_mass=1)
+    assert len(list((tmp_path / "ix" / "_staged").glob("part-*.parquet"))) > 4
+    assert ix.table("files").count() == 64
+    want = hashlib.sha256("".join(sorted(hashlib.sha256(r[1].encode()).hexdigest() for r in rows)).encode()).hexdigest()
+    assert [r["checksum"] for r in ix.table("package_versions").collect()] == [want]
+    f = ix.table("file_terms").groupBy("file_id").agg({"tf": "sum"}).collect()
+    assert {r[1] for r in f} == {4}
