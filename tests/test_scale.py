@@ -2,9 +2,12 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from codequarry.functions import code, elixir, match
+from codequarry.functions import text as T
 from codequarry.index import Index
-from codequarry.operators import extract
+from codequarry.operators import extract, paging
 from codequarry.plans import code_twins, twins
 
 NESTED = "defmodule A do\n  def run(x, y) do\n    " + "f(" * 40 + "x" + ", y)" * 40 + " |> Enum.map(1) |> g.()\n  end\nend\n"
@@ -66,3 +69,54 @@ def test_sources_of_an_index_are_dealt_out_and_staged_once(spark, tmp_path):
     assert [r["checksum"] for r in ix.table("package_versions").collect()] == [want]
     f = ix.table("file_terms").groupBy("file_id").agg({"tf": "sum"}).collect()
     assert {r[1] for r in f} == {4}
+
+
+def test_a_function_that_comes_again_is_not_hashed_again(monkeypatch):
+    source = "defmodule {0} do\n  def run(x), do: x |> Enum.map(& &1) |> Enum.sum()\n  def other(y), do: {{:ok, y}}\nend\n"
+    first, second = (source.format(m) for m in ("Once", "Again"))
+    code.extract("a.ex", first, min_mass=1)
+    seen = []
+    real = hashlib.sha256
+    monkeypatch.setattr(code.hashlib, "sha256", lambda *a: seen.append(1) or real(*a))
+    got = code.extract("b.ex", "\n\n" + second, min_mass=1)
+    assert len(seen) <= 4  # what the module's name is in
+    monkeypatch.undo()
+    tree = elixir.parse(second)
+    nodes = [x for x in elixir.walk(tree) if isinstance(x, elixir.Node) and x.args is not None and x.line and x.form not in ("__aliases__", "->", ".")]
+    assert [(f["exact_hash"], f["terms"], f["sub_hashes"], f["mass"], f["line"]) for f in got["fragments"]] == [(code.exact_hash(x), code.terms(x), code.sub_hashes(x), code.mass(x), x.line + 2) for x in nodes]
+
+
+def test_shapes_are_let_go_between_sources(monkeypatch):
+    monkeypatch.setattr(code, "MOST_KEPT", 10_000)
+    for k in range(50):
+        code.extract("a.ex", f"def f{k}(x), do: [{k}, x, {{{k}, :a{k}}}]", min_mass=1)
+    assert code._shapes.kept < 20_000
+
+
+def test_words_in_workers_are_those_of_columns(spark):
+    texts = ["aB1Cd_efGH! x?y __A_b HTTPServer a9B", "", "İK ſß Éa1\u00a0b\tB b", "def run(x) do\n  # Note 12_3\nend"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.identifier_tokens(F.col("t")).alias("i"), F.split(F.regexp_replace(F.lower("t"), T.WORD_BREAK, " "), " ").alias("w")).collect()
+    for r in rows:
+        assert T.identifier_tokens_of(r["t"]) == r["i"]
+        assert T.word_counts(r["t"]) == {w: r["w"].count(w) for w in r["w"] if w}
+    assert T.identifier_tokens_of(None) is None and T.word_counts(None) == {}
+
+
+def test_all_rows_in_order_are_not_one_task(spark):
+    rows = spark.range(10, numPartitions=3)
+    plan = lambda limit: paging.page(rows.orderBy(F.desc("id")), 0, limit)._jdf.queryExecution().executedPlan().toString()
+    assert "Limit" not in plan(2**31 - 1) and "SinglePartition" not in plan(2**31 - 1)
+    assert [r[0] for r in paging.page(rows.orderBy(F.desc("id")), 2, 3).collect()] == [7, 6, 5]
+    assert [r[0] for r in paging.page(rows.orderBy(F.desc("id")), 8, 2**31 - 1).collect()] == [1, 0]
+
+
+def test_a_task_writes_versions_side_by_side_without_a_sort(spark, tmp_path):
+    rows = [(f"lib/{i}.ex", f"f({i})", "local", f"p{i % 11}", "1.0.0", None, i) for i in range(66)]
+    sources = spark.createDataFrame(rows, "path string, source string, ecosystem string, name string, version string, source_ref string, ordinal long")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    ix = Index.build(spark, sources, f"file://{tmp_path}/ix", min_mass=1)  # more versions than are written side by side
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert ix.table("files").count() == 66 and ix.table("files").select("package_version_id").distinct().count() == 11
+    post = ix.table("fragment_terms")
+    assert post.count() == post.distinct().count() > 66
+    assert ix.table("file_terms").where(F.col("term_id") == F.xxhash64(F.lit("f"))).agg(F.sum("tf")).first()[0] == 66
