@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import code, elixir, match
 from codequarry.functions import text as T
 from codequarry.index import Index
-from codequarry.operators import extract, paging
+from codequarry.operators import extract, paging, postings
 from codequarry.plans import code_twins, twins
 
 NESTED = "defmodule A do\n  def run(x, y) do\n    " + "f(" * 40 + "x" + ", y)" * 40 + " |> Enum.map(1) |> g.()\n  end\nend\n"
@@ -120,3 +120,22 @@ def test_a_task_writes_versions_side_by_side_without_a_sort(spark, tmp_path):
     post = ix.table("fragment_terms")
     assert post.count() == post.distinct().count() > 66
     assert ix.table("file_terms").where(F.col("term_id") == F.xxhash64(F.lit("f"))).agg(F.sum("tf")).first()[0] == 66
+
+
+def test_a_line_that_comes_again_is_not_scanned_again(monkeypatch):
+    text = "def f(x) do\n  x |> g(1) # note\n\n  \"a\nb\" <> ?\n\nend"
+    first = [repr(t) for t in elixir.tokenize(text)[0]], elixir.tokenize(text)[1]
+    scanned = []
+    real = elixir._scan
+    monkeypatch.setattr(elixir, "_scan", lambda *a: scanned.append(a[0]) or real(*a))
+    assert ([repr(t) for t in elixir.tokenize(text)[0]], elixir.tokenize(text)[1]) == first
+    assert scanned == [text, text]  # once a call
+    monkeypatch.setattr(elixir, "_line", lambda text: None)
+    assert ([repr(t) for t in elixir.tokenize(text)[0]], elixir.tokenize(text)[1]) == first
+
+
+def test_ranges_of_postings_are_sorted_by_one_number(spark):
+    post = spark.createDataFrame([(t, f) for t in (5, 7) for f in range(100)], "term_id long, fragment_id long")
+    plan = postings.clustered(post, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [term_id" in plan and "fragment_id" not in plan[plan.index("Sort [") :].split("]")[0]
+    assert sorted(postings.clustered(post, 4).collect()) == sorted(post.collect())
