@@ -8,7 +8,7 @@ from codequarry.functions import code, elixir, match
 from codequarry.functions import text as T
 from codequarry.index import Index
 from codequarry.operators import extract, paging, postings
-from codequarry.plans import code_twins, twins
+from codequarry.plans import code_twins, index_twins, twins
 
 NESTED = "defmodule A do\n  def run(x, y) do\n    " + "f(" * 40 + "x" + ", y)" * 40 + " |> Enum.map(1) |> g.()\n  end\nend\n"
 
@@ -139,3 +139,19 @@ def test_ranges_of_postings_are_sorted_by_one_number(spark):
     plan = postings.clustered(post, 4)._jdf.queryExecution().executedPlan().toString()
     assert "Sort [term_id" in plan and "fragment_id" not in plan[plan.index("Sort [") :].split("]")[0]
     assert sorted(postings.clustered(post, 4).collect()) == sorted(post.collect())
+
+
+def test_the_copy_of_postings_is_made_when_it_is_asked_for(spark):
+    d = "/root/testdata/sf0.001/"
+    ix = index_twins.index(spark, d)
+    assert not ix.store._exists("postings_by_term")
+    plain = ix.table("fragment_terms").select("term_id", "fragment_id").collect()
+    assert index_twins.index(spark, d, ranged=True) is ix and ix.store._exists("postings_by_term")
+    assert sorted(ix.table("fragment_terms").select("term_id", "fragment_id").collect()) == sorted(plain)
+
+
+def test_symbols_of_nodes_that_are_known():
+    tree = elixir.parse(NESTED)
+    nodes = [x for x in elixir.walk(tree) if isinstance(x, elixir.Node)]
+    assert code.symbols(tree, nodes) == code.symbols(tree)
+    assert code.extract("a.ex", NESTED, min_mass=1)["definitions"] == code.symbols(tree)[0]
