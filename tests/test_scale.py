@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import code, elixir, match
 from codequarry.functions import text as T
 from codequarry.index import Index
-from codequarry.operators import extract, paging, postings
+from codequarry.operators import extract, paging, postings, store
 from codequarry.plans import code_twins, index_twins, twins
 
 NESTED = "defmodule A do\n  def run(x, y) do\n    " + "f(" * 40 + "x" + ", y)" * 40 + " |> Enum.map(1) |> g.()\n  end\nend\n"
@@ -155,3 +155,67 @@ def test_symbols_of_nodes_that_are_known():
     nodes = [x for x in elixir.walk(tree) if isinstance(x, elixir.Node)]
     assert code.symbols(tree, nodes) == code.symbols(tree)
     assert code.extract("a.ex", NESTED, min_mass=1)["definitions"] == code.symbols(tree)[0]
+
+
+FUNCTION = "  def f(x) do\n    # {0}\n    x |> B.g(1) |> h() # more {0}\n  end\n"
+
+
+def test_a_function_that_comes_again_is_not_parsed_again(monkeypatch):
+    source = "defmodule {0} do\n  alias A.B\n" + FUNCTION + "\n  def k(y) do\n    {{:ok, @z, y}}\n  end\nend\n"
+    first, second = (source.format(m) for m in ("OnceMore", "AndAgain"))
+    code.extract("a.ex", first, min_mass=1)
+    seen = []
+    real = elixir.Parser.do_block
+    monkeypatch.setattr(elixir.Parser, "do_block", lambda self: seen.append(1) or real(self))
+    got = code.extract("b.ex", second, min_mass=1)
+    assert len(seen) == 1  # the module's
+    monkeypatch.setattr(elixir, "_function", lambda *a: None)
+    alone = code.extract("b.ex", second, min_mass=1)
+    assert len(seen) == 4
+    assert [f.pop("places", None) is not None for f in got["fragments"]].count(True) > 4
+    assert got == alone
+
+
+def test_what_only_looks_like_a_function_of_its_own_is_parsed_with_what_is_around_it(monkeypatch):
+    f = "def a(x) do\n  x\nend"
+    around = ["foo a,\n{}\n", "foo x =\n{}\n", "foo.\n{}\n", "{}\n|> g(1)\n", "{}.x\n", "[a,\n{}]\n", "foo(\n{}\n)\n", "not\n{}\n", "x and\n{}", "\"\"\"\n{}\n\"\"\"\n", "{}\nend\n", "f fn y ->\n{}\nend\n", "{}, 2\n"]
+    inside = ["def a do\n  \"x\nend\n\"\nend", "def a do\n  if x do\n 1\nend\nend", "def a do\n ?#\nend", "def a do\n  quote do\n    defmodule X do\n    end\n  end\nend", "def a, do: 1\ndef b do\n  2\nend", "def a do\n{\nend"]
+    sources = [x.format(f) for x in around] + inside + [f"defmodule M do\n{x}\nend\n" for x in inside]
+    made = [[code.extract("a.ex", s, min_mass=1) for s in sources] for _ in range(2)]
+    monkeypatch.setattr(elixir, "_function", lambda *a: None)
+    alone = [code.extract("a.ex", s, min_mass=1) for s in sources]
+    for found in made:
+        for got in found:
+            for row in got["fragments"] if got else ():
+                row.pop("places", None)
+        assert found == alone
+    assert None in alone and any(alone)
+
+
+def test_functions_are_let_go(monkeypatch):
+    monkeypatch.setattr(elixir, "MOST_NODES", 100)
+    for k in range(60):
+        code.extract("a.ex", f"def f{k}(x) do\n  x\nend\n", min_mass=1)
+    assert 0 < len(elixir._FUNCTIONS) <= 40 and elixir._nodes_kept <= 100
+
+
+def test_versions_are_summed_up_once(spark, tmp_path, monkeypatch):
+    rows = [(f"lib/{i}.ex", f"f({i})", "local", f"p{i % 3}", "1.0.0", None, i) for i in range(9)]
+    sources = spark.createDataFrame(rows, "path string, source string, ecosystem string, name string, version string, source_ref string, ordinal long")
+    runs = spark.sparkContext.accumulator(0)
+    real = store.map_arrow
+
+    def counted(df, function, fields):
+        if "checksum" not in fields:
+            return real(df, function, fields)
+
+        def run(batches):
+            for b in batches:
+                runs.add(b.num_rows)
+                yield from function(iter([b]))
+        return real(df.coalesce(1), run, fields)
+
+    monkeypatch.setattr(store, "map_arrow", counted)
+    ix = Index.build(spark, sources, f"file://{tmp_path}/ix", min_mass=1)
+    assert runs.value == 9
+    assert ix.table("package_versions").where("index_state = 'complete'").count() == 3
