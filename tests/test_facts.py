@@ -57,3 +57,55 @@ def test_frequencies_are_counted_of_terms_that_patterns_have(spark, tmp_path):
         m.setattr(postings, "document_frequency", lambda post, *a: seen.append(post.select("term_id").distinct().count()) or real(post, *a))
         found = ix.audit({"h": ["h(_)"]}, mode="anchor").collect()
     assert [(r["check"], r["line"]) for r in found] == [("h", 2)] and seen[0] <= 2 < ix.table("terms").count()
+
+
+MODULES = [
+    "defmodule {0} do\n  alias X.Yy, as: Zz\n  def run(x) do\n    Zz.go(x) |> Enum.map(2) # {0} {1}\n  end\n\n  # {1}\n  defp k(y), do: [:a, y, {{1.5, y}}]\n\n  defmodule In do\n    def f(q) do\n      g(q)\n    end\n  end\nend\ng(1); g(1)\n",
+    "defmodule {0} do\n  def f(x) do\n    \"a{1}\" <> x\n  end\nend\n",
+    "defmodule {0} do\n  def f(x) do\n    {0}.g(x)\n  end\nend\n",
+    "defmodule {0} do\n  def f(x) do\n    (x\n  end\nend\n",
+    "defmodule {0} do\n  ü = x\n  def f(x) do\n    ü.(x)\n  end\nend\n",
+]
+NAMES = ["Ab", "Cd", "Ef", "Gh", "Kl", "Mn", "En", "Yy", "In", "Abc", "Ghi", "Enum", "Abcd", "Wxyz"]
+
+
+def test_a_module_that_comes_again_under_other_names_has_the_same_facts_as_alone(monkeypatch):
+    def gathered(f):
+        out = []
+        for least in (1, 4):
+            for k, n in enumerate(NAMES):
+                for m in MODULES:
+                    into = {c: [] for c in code.COLUMNS}
+                    got = f(m.format(n, k), into, least)
+                    if got is not None:
+                        into["terms"] = [sorted(got["terms"][t] for t in x) for x in into["terms"]]
+                        got = got | {"terms": sorted(got["terms"]), "ast_of": [got["ast"].encode()[a : a + s] for a, s in zip(into["ast_at"], into["ast_size"])]}
+                    out.append((m.format(n, k), into, got))
+        return out
+
+    alone = gathered(code._columns)
+    monkeypatch.setattr(code, "_MODULES", {})
+    monkeypatch.setattr(code, "_ONCE", set())
+    put = []
+    real = code._Module.put
+    monkeypatch.setattr(code._Module, "put", lambda self, *a: put.append(1) or real(self, *a))
+    assert gathered(lambda s, into, least: code.columns("lib/a.ex", s, into, min_mass=least)) == alone
+    assert len(put) >= 6
+    for source, into, got in alone[: len(alone) // 2]:
+        rows = code.extract("lib/a.ex", source, min_mass=1)
+        assert (rows is None) == (got is None)
+        if rows is not None:
+            first = {}
+            for f in rows["fragments"]:
+                first.setdefault((f["line"], f["exact_hash"]), f)
+            assert [[f[n] for f in first.values()] for n in ("ordinal", "kind", "module", "name", "end_line", "mass", "exact_hash", "sub_hashes", "terms")] == [into[n] for n in ("ordinal", "kind", "module", "name", "end_line", "mass", "exact_hash", "sub_hashes", "terms")]
+            assert [f["ast"].encode() for f in first.values()] == got["ast_of"]
+
+
+def test_modules_are_let_go(monkeypatch):
+    monkeypatch.setattr(code, "_MODULES", {})
+    monkeypatch.setattr(code, "MOST_MODULES", 2000)
+    for k in range(40):
+        for n in ("Ab", "Cd", "Ef"):
+            code.columns("a.ex", f"defmodule {n} do\n  def f(x) do\n    x + {k}\n  end\nend\n", {c: [] for c in code.COLUMNS}, min_mass=1)
+    assert 0 < len(code._MODULES) < 10
